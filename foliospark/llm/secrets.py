@@ -1,0 +1,264 @@
+"""Secret scans: one minimised deterministic automaton over bytes finds which rules occur, then spans are cut out."""
+
+from __future__ import annotations
+
+import functools
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from .common import flat, hex_sha256, scan, table
+
+#: kind, what the automaton looks for, the full rule, group that is measured, least length, whether it is a base rule.
+RULES = [
+    ("assign", r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]", r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8, True),
+    ("access", r"AKIA[A-Z0-9]{12}", r"AKIA[A-Z0-9]+", 0, 16, True),
+    ("hex", r"[0-9a-f]{32}", r"[0-9a-f]+", 0, 32, True),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{4}", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, False),
+    ("slack", r"xox[abprs]-[A-Za-z0-9]", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15, False),
+    ("google", r"AIza[0-9A-Za-z_-]{4}", r"AIza[0-9A-Za-z_-]+", 0, 39, False),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, False),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0, False),
+]
+
+
+def parse(pattern: str) -> tuple:
+    """A pattern of literals, classes, groups, |, ?, *, + and {n} as a tree of bytes."""
+    at = 0
+
+    def alternatives():
+        nonlocal at
+        found = [sequence()]
+        while at < len(pattern) and pattern[at] == "|":
+            at += 1
+            found.append(sequence())
+        return found[0] if len(found) == 1 else ("or", found)
+
+    def sequence():
+        nonlocal at
+        found = []
+        while at < len(pattern) and pattern[at] not in "|)":
+            x = atom()
+            while at < len(pattern) and pattern[at] in "?*+{":
+                op = pattern[at]
+                if op == "{":
+                    end = pattern.index("}", at)
+                    x, at = ("seq", [x] * int(pattern[at + 1 : end])), end + 1
+                else:
+                    x, at = (op, x), at + 1
+            found.append(x)
+        return ("seq", found)
+
+    def char() -> int:
+        nonlocal at
+        if pattern[at] == "\\":
+            at += 2
+            if pattern[at - 1] == "x":
+                at += 2
+                return int(pattern[at - 2 : at], 16)
+            return ord(pattern[at - 1])
+        at += 1
+        return ord(pattern[at - 1])
+
+    def atom():
+        nonlocal at
+        if pattern[at] == "(":
+            at += 1
+            x = alternatives()
+            at += 1
+            return x
+        if pattern[at] == "[":
+            at += 1
+            members: set[int] = set()
+            while pattern[at] != "]":
+                low = char()
+                if pattern[at] == "-" and pattern[at + 1] != "]":
+                    at += 1
+                    members |= set(range(low, char() + 1))
+                else:
+                    members.add(low)
+            at += 1
+            return ("set", frozenset(members))
+        return ("set", frozenset({char()}))
+
+    return alternatives()
+
+
+def combined(patterns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each byte, next state by state and class, and the rules (bits) that each state accepts.
+
+    A search automaton for all patterns: Thompson's construction, subset construction over classes of bytes that no
+    pattern tells apart, then minimisation by splitting. State 0 is the start; accepting states come last.
+    """
+    empty: list[list[int]] = [[]]
+    steps: list[list[tuple[frozenset[int], int]]] = [[]]
+
+    def new() -> int:
+        empty.append([])
+        steps.append([])
+        return len(empty) - 1
+
+    def build(x, start: int) -> int:
+        if x[0] == "set":
+            end = new()
+            steps[start].append((x[1], end))
+            return end
+        if x[0] == "seq":
+            for y in x[1]:
+                start = build(y, start)
+            return start
+        end = new()
+        if x[0] == "or":
+            for y in x[1]:
+                begin = new()
+                empty[start].append(begin)
+                empty[build(y, begin)].append(end)
+            return end
+        begin = new()
+        empty[start].append(begin)
+        last = build(x[1], begin)
+        empty[last].append(end)
+        if x[0] in "*+":
+            empty[last].append(begin)
+        if x[0] in "?*":
+            empty[start].append(end)
+        return end
+
+    accepts = {}
+    for i, p in enumerate(patterns):
+        begin = new()
+        empty[0].append(begin)
+        accepts[build(parse(p), begin)] = i
+    sets = {s for row in steps for s, _ in row}
+    kinds: dict[tuple, int] = {}
+    classes = np.array([kinds.setdefault(tuple(b in s for s in sets), len(kinds)) for b in range(256)], np.uint8)
+    example = {c: b for b, c in enumerate(classes)}
+    by_class = [[[t for s, t in row if example[c] in s] for c in range(len(kinds))] for row in steps]
+
+    @functools.cache
+    def closure(state: int) -> frozenset[int]:
+        seen, todo = {state}, [state]
+        while todo:
+            for t in empty[todo.pop()]:
+                if t not in seen:
+                    seen.add(t)
+                    todo.append(t)
+        return frozenset(x for x in seen if steps[x] or x in accepts)
+
+    start = closure(0)
+    names, order, rows = {start: 0}, [start], []
+    for states in order:
+        row = []
+        for c in range(len(kinds)):
+            to = frozenset().union(start, *(closure(t) for s in states for t in by_class[s][c]))
+            if to not in names:
+                names[to] = len(order)
+                order.append(to)
+            row.append(names[to])
+        rows.append(row)
+    move = np.array(rows)
+    bits = np.array([sum(1 << accepts[s] for s in states if s in accepts) for states in order])
+    group = np.unique(bits, return_inverse=True)[1]
+    while True:
+        finer = np.unique(np.column_stack([group, group[move]]), axis=0, return_inverse=True)[1].ravel()
+        if finer.max() == group.max():
+            break
+        group = finer
+    firsts = np.unique(group, return_index=True)[1]
+    firsts = firsts[np.lexsort((firsts, bits[firsts] > 0))]
+    rank = np.empty(len(firsts), int)
+    rank[group[firsts]] = np.arange(len(firsts))
+    return classes, rank[group[move[firsts]]].astype(np.int32), bits[firsts].astype(np.int64)
+
+
+@functools.cache
+def compiled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return combined([r[1] for r in RULES])
+
+
+#: With fewer texts left than this, the rest of each is walked on its own.
+LANES = 24
+
+
+def rules_in(data: np.ndarray, offsets: np.ndarray, machine=None) -> np.ndarray:
+    """Rules (bits) that occur in each text, by one pass over its bytes; texts of a batch go side by side."""
+    classes, move, bits = machine or compiled()
+    width, first = move.shape[1], int(np.argmax(bits > 0)) if bits.any() else len(bits)
+    edge = first * width
+    table_ = (move * width).astype(np.int32).ravel()
+    wide_bits = bits
+    codes = classes[data]
+    length = np.diff(offsets)
+    order = np.argsort(-length, kind="stable")
+    sorted_length, base = length[order], offsets[:-1][order]
+    found = np.zeros(len(order), np.int64)
+    state = np.zeros(len(order), np.int32)
+    live = np.searchsorted(-sorted_length, -np.arange(1, (sorted_length[0] if len(order) else 0) + 1), "right")
+    i, n = 0, len(live)
+    while i < n and (m := live[i]) >= LANES:
+        s = table_[state[:m] + codes[base[:m] + i]]
+        state[:m] = s
+        hit = s >= edge
+        if hit.any():
+            found[:m][hit] |= wide_bits[s[hit] // width]
+        i += 1
+    if i < n:
+        steps = table_.tolist()
+        for k in range(live[i]):
+            s, got = int(state[k]), 0
+            for c in codes[base[k] + i : base[k] + sorted_length[k]].tobytes():
+                s = steps[s + c]
+                if s >= edge:
+                    got |= 1 << (s // width)
+            k_bits, q = 0, 0
+            while got:
+                if got & 1:
+                    k_bits |= int(wide_bits[q])
+                got >>= 1
+                q += 1
+            found[k] |= k_bits
+    out = np.zeros(len(order), np.int64)
+    out[order] = found
+    return out
+
+
+_FULL = [re.compile(r[2]) for r in RULES]
+
+
+def spans(text: str, rules: int = -1) -> list[tuple[int, int, int]]:
+    """(start, rule, end) in code points of the rules among the bits, leftmost and not overlapping within a rule."""
+    return [(m.start(), k, m.end()) for k, r in enumerate(RULES) if rules >> k & 1 for m in _FULL[k].finditer(text) if m.end(r[3]) - m.start(r[3]) >= r[4]]
+
+
+SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
+_NONE = hex_sha256(b"")
+
+
+def scan_secrets(docs: DataFrame) -> DataFrame:
+    """A row per row of docs (doc_id, text): counts and digest of the base rules' spans, and all spans. One pass, no
+    shuffle. Null texts count as empty; texts without secrets have no spans and the digest of no bytes. Spans of
+    different kinds may overlap. The automaton is compiled once, on the driver; its size depends on RULES alone."""
+    machine = compiled()
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        hits = rules_in(*flat(b.column("text")), machine)
+        n = np.zeros((3, b.num_rows), np.int64)
+        digest, listed = [_NONE] * b.num_rows, [""] * b.num_rows
+        for i in np.nonzero(hits)[0]:
+            found = sorted(spans(b.column("text")[int(i)].as_py(), int(hits[i])))
+            tell = [(RULES[k][5], f"{RULES[k][0]}:{s}:{e}") for s, k, e in found]
+            for _, k, _ in found:
+                if k < 3:
+                    n[k, i] += 1
+            digest[i] = hex_sha256(",".join(x for base, x in tell if base).encode())
+            listed[i] = ",".join(x for _, x in tell)
+        return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_assign": n[0], "n_access": n[1], "n_hex": n[2], "base_sha256": digest, "spans": listed})
+
+    return scan(docs.select("doc_id", "text"), run, SCHEMA)
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8: secrets in all documents."""
+    return scan_secrets(table(spark, sf_dir, "documents"))
