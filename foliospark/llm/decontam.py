@@ -14,8 +14,7 @@ WINDOW, BLOCK_BYTES = 10, 32 << 20
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[b for b in range(256) if 48 <= b <= 57 or 97 <= LOWER[b] <= 122 or b >= 128]] = True
 _LOWER = np.frombuffer(LOWER, np.uint8)
-_RNG = np.random.default_rng(20240)
-_BYTE = _RNG.integers(1, 1 << 63, (2, 256), np.uint64)
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -39,26 +38,24 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     nxt[edge[1:]] = False
     ends = np.nonzero(word & ~nxt)[0] + 1
     doc = np.searchsorted(offsets, starts, "right") - 1
-    low = _LOWER[data]
     length = ends - starts
-    h = np.zeros(len(starts), np.uint64)
-    live = np.argsort(-np.minimum(length, 32767).astype(np.int16), kind="stable") if len(starts) else np.zeros(0, np.int64)
+    return starts, ends, doc, hashed(_LOWER[data], starts, length)
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """63-bit hash of each stretch of bytes, eight bytes at a time, the longest stretches first."""
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(16, np.uint8)]).tobytes(), strides=(1,))
+    live = np.argsort(-np.minimum(length, 32767).astype(np.int16), kind="stable") if not len(length) or length.max() < 32767 else np.argsort(-length, kind="stable")
     sizes, begin = length[live], starts[live]
-    if len(sizes) and sizes[0] >= 32767:
-        far = np.argsort(-length, kind="stable")
-        live, sizes, begin = far, length[far], starts[far]
     x, i = np.zeros(len(starts), np.uint64), 0
     with np.errstate(over="ignore"):
-        while (m := int(np.searchsorted(-sizes, -i, "left"))) >= 16 or m and i < 64:
-            x[:m] = (x[:m] ^ _BYTE[0][low[begin[:m] + i]]) * _BASE[0]
-            i += 1
-        for k in range(m):  # the rest of a few very long words
-            y, codes = int(x[k]), _BYTE[0].tolist()
-            for c in low[begin[k] + i : begin[k] + sizes[k]].tobytes():
-                y = ((y ^ codes[c]) * int(_BASE[0])) & 0xFFFFFFFFFFFFFFFF
-            x[k] = y
+        while m := int(np.searchsorted(-sizes, -i, "left")):
+            v = eight[begin[:m] + i] & _KEEP[np.minimum(sizes[:m] - i, 8)]
+            x[:m] = _mixed((x[:m] ^ v) * _BASE[0])
+            i += 8
+        h = np.empty(len(starts), np.uint64)
         h[live] = x
-        return starts, ends, doc, _mixed(h ^ length.astype(np.uint64)) >> np.uint64(1)
+        return _mixed(h ^ length.astype(np.uint64)) >> np.uint64(1)
 
 
 def rolling(h: np.ndarray, n: int) -> np.ndarray:
@@ -87,27 +84,34 @@ def suffix_array(ids: np.ndarray, ends: np.ndarray, at: np.ndarray, depth: int)
 
 
 class Shard:
-    """Suffix array over the words of one batch of documents, at the places that share a window with the benchmark."""
+    """Suffix array over the words of one batch of documents, at the places at, as deep as depth words."""
 
     def __init__(self, h: np.ndarray, doc: np.ndarray, at: np.ndarray, depth: int) -> None:
-        self.h, self.at_end = h, np.searchsorted(doc, doc, "right")
-        self.depth = depth
+        self.h, self.at_end, self.depth = h, np.searchsorted(doc, doc, "right"), depth
         self.sa = suffix_array(h, self.at_end, at, depth)
 
-    def find(self, suffix: np.ndarray) -> tuple[int, np.ndarray]:
-        """Length in words of the longest match with a prefix of suffix (up to depth), and where it occurs: binary search, word by word."""
-        low, high, n = 0, len(self.sa), 0
-        for d in range(min(len(suffix), self.depth)):
-            p = self.sa[low:high] + d
-            ok = p < self.at_end[self.sa[low:high]]
-            keys = np.where(ok, self.h[np.minimum(p, len(self.h) - 1)], 0)
-            first = int(np.argmax(ok)) if ok.any() else len(ok)
-            a = first + int(np.searchsorted(keys[first:], suffix[d], "left"))
-            b = first + int(np.searchsorted(keys[first:], suffix[d], "right"))
-            if a >= b:
+    def find(self, tests: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the test suffixes that start at at and end at ends: words of the longest match, up to depth, and the range of
+        the suffix array where it occurs. All suffixes are searched at once, a word deeper each time: within the range
+        that a suffix has reached, the array is sorted by the next word."""
+        n = np.zeros(len(at), np.int64)
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.sa))
+        live = np.arange(len(at))
+        group = np.zeros(len(self.sa), np.int64)
+        for d in range(self.depth):
+            live = live[at[live] + d < ends[live]]
+            p = self.sa + d
+            word = np.where(p < self.at_end[self.sa], self.h[np.minimum(p, len(self.h) - 1)].astype(np.int64), -1)
+            names = np.unique(np.concatenate([word, tests[at[live] + d].astype(np.int64)]))
+            keys = group * len(names) + np.searchsorted(names, word)
+            if not len(keys) or not len(live):
                 break
-            low, high, n = low + a, low + b, d + 1
-        return n, self.sa[low:high] if n else self.sa[:0]
+            wanted = group[low[live]] * len(names) + np.searchsorted(names, tests[at[live] + d].astype(np.int64))
+            a, b = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+            live, a, b = live[a < b], a[a < b], b[a < b]
+            low[live], high[live], n[live] = a, b, d + 1
+            group = np.cumsum(np.r_[0, keys[1:] != keys[:-1]])
+        return n, low, high
 
 
 class Tests:
@@ -117,7 +121,7 @@ class Tests:
         data = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.cumsum([0] + [len(t) for t in texts])
         _, _, doc, self.h = words_of(data, offsets)
-        self.ids = ids
+        self.ids, self.item, self.ends = ids, doc, np.searchsorted(doc, doc, "right")
         count = np.bincount(doc, minlength=len(texts)) if len(texts) else np.zeros(0, int)
         first = np.cumsum(np.r_[0, count])[:-1]
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -147,6 +151,20 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_BYTES)
     return out
 
 
+def longest_matches(column: pa.Array, tests: "Tests", depth: int = 50, shortest: int = 5) -> list[tuple[str, int, int, int, int]]:
+    """(item, its first word, words, text of the batch, the text's first word) of each benchmark suffix's longest verbatim
+    matches of at least shortest words, as far as depth words; every place of the batch is in the suffix array."""
+    _, _, doc, h = words_of(*flat(column))
+    if not len(h) or not len(tests.h):
+        return []
+    shard = Shard(h, doc, np.arange(len(h)), depth)
+    ends = tests.ends
+    n, low, high = shard.find(tests.h, np.arange(len(tests.h)), ends)
+    first = np.searchsorted(doc, np.arange(len(column)))
+    own = np.searchsorted(tests.item, np.arange(len(tests.ids)))
+    return [(tests.ids[tests.item[i]], int(i - own[tests.item[i]]), int(n[i]), int(doc[p]), int(p - first[doc[p]])) for i in np.nonzero(n >= shortest)[0] for p in np.sort(shard.sa[low[i] : high[i]])]
+
+
 def hits(column: pa.Array, tests: list[Broadcast], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
     """Of each text: words, words inside an occurrence of a window, and the items whose windows occur."""
     data, offsets = flat(column)
@@ -166,15 +184,14 @@ def hits(column: pa.Array, tests: list[Broadcast], window: int = WINDOW) -> tupl
                 continue
             shard = Shard(h, doc, where, length)
             found = np.unique(pos[where])
-            for i in found:
-                j = int(np.searchsorted(keys, keys[i], "right"))
-                matched, places = shard.find(t.h[at[i] : at[i] + length])
-                if matched < length:
-                    continue
+            last = np.searchsorted(keys, keys[found], "right")
+            matched, low, high = shard.find(t.h, at[found], at[found] + length)
+            for i, j, a, b in zip(found[matched == length], last[matched == length], low[matched == length], high[matched == length], strict=True):
+                places = shard.sa[a:b]
                 hit[places] += 1
                 hit[places + length] -= 1
                 names = {t.ids[k] for k in item[i:j]}
-                for d in np.unique(doc[places]):
+                for d in np.unique(doc[places]) if b - a > 1 else doc[places]:
                     items[d] |= names
     covered = np.cumsum(hit[:-1]) > 0
     return np.bincount(doc, minlength=n), np.bincount(doc[covered], minlength=n), items
