@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import Written, table
 
-#: Share of tokens that each domain (a quality label) should have, and tokens to keep of all.
-TARGETS, BUDGET = {"quality=1": 0.92, "quality=0": 0.08}, 0.9
+#: Share of tokens that each domain (a quality label) should have.
+TARGETS = {"quality=1": 0.92, "quality=0": 0.08}
 #: Steps of the fit at most, where it ends (largest gap to a target, of that target), and how sharp posteriors are.
 ROUNDS, CLOSE, SHARPNESS = 40, 0.002, 0.35
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -82,13 +82,14 @@ def _rate(history: list[list[float]], start: float, p: Column) -> Column:
     return F.aggregate(steps, F.lit(start), step)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, rounds: int = ROUNDS) -> DataFrame:
     """docs with n_tokens, domain (the likeliest), posteriors, rate, and copies: how often the row is taken.
 
     Rates are never negative; where the targets can be met, sum(rate * n_tokens * posterior) meets them for each domain
     within CLOSE. copies is rate rounded up or down by a hash of the row, so its mean is the rate. Domains without
     labelled rows leave their share to the others; without labelled rows at all, each rate is budget. Each step of the
-    fit is one aggregation of a few numbers over a written table without texts; texts are never shuffled.
+    fit is one aggregation of a few numbers over a written table without texts; texts are never shuffled. budget is the
+    share of all tokens to take; None takes the most for which no domain as a whole must repeat.
     """
     targets = TARGETS if targets is None else targets
     spark = docs.sparkSession
@@ -102,6 +103,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     p = F.col("posteriors")
     tokens = F.col("n_tokens").cast("double")
     whole = [x or 0.0 for x in small.agg(*(F.sum(tokens * p[i]).alias(f"a{i}") for i in range(k))).first()]
+    if budget is None:
+        budget = min((a / (w / sum(weight)) for a, w in zip(whole, weight, strict=True)), default=1.0) / (sum(whole) or 1.0) if domains else 1.0
     wanted = [budget * sum(whole) * w / sum(weight) for w in weight]
     history: list[list[float]] = []
     for _ in range(rounds):
@@ -116,7 +119,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     return seen.drop("_f").withColumn("domain", F.element_at(names, F.array_position(p, F.array_max(p)).cast("int"))).withColumn("rate", _rate(history, budget, p)).withColumn("copies", F.floor(F.col("rate") + chance).cast("bigint"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
     """The rows that mix takes, as often as it takes them, with the columns of docs."""
     own = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
     return mix(own, labels, targets, budget).withColumn("_i", F.explode(F.expr("array_repeat(1, cast(copies as int))"))).select("_row.*")

@@ -197,27 +197,23 @@ def _contexts(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
 
 
 def _nodes(contexts: DataFrame, length: int) -> DataFrame:
-    """Of each anchor and each NODE offsets of it: digests of what all its strings span (whole) and of what they share."""
+    """Of each anchor and each NODE offsets of it: a digest of what all its strings share, and of what they span (null where
+    the text's end cuts some off)."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        row, node, whole, key = [], [], [], []
+        row, node, core, whole = [], [], [], []
         for i, (a, x) in enumerate(zip(b.column("at").to_pylist(), b.column("context").to_pylist(), strict=True)):
             low, high = max(0, a + length - len(x)), min(length - GRAM, a)
             for j in range(low // NODE, high // NODE + 1):
                 first, last = NODE * j, min(NODE * j + NODE - 1, length - GRAM)
                 row.append(i)
                 node.append(j)
-                whole.append(False)
-                key.append(_digest(x[a - first : a - last + length], j, 1))
-                if low <= first and last <= high:
-                    row.append(i)
-                    node.append(j)
-                    whole.append(True)
-                    key.append(_digest(x[a - last : a - first + length], j, 2))
+                core.append(_digest(x[a - first : a - last + length], j, 1))
+                whole.append(_digest(x[a - last : a - first + length], j, 2) if low <= first and last <= high else None)
         at = pa.array(row, pa.int32())
-        return pa.RecordBatch.from_pydict({k: b.column(k).take(at) for k in ("doc_id", "th", "pos")} | {"node": pa.array(node, pa.int32()), "whole": pa.array(whole, pa.bool_()), "key": pa.array(key, pa.binary())})
+        return pa.RecordBatch.from_pydict({k: b.column(k).take(at) for k in ("doc_id", "th", "pos")} | {"node": pa.array(node, pa.int32()), "core": pa.array(core, pa.binary()), "whole": pa.array(whole, pa.binary())})
 
-    return scan(contexts, run, "doc_id bigint, th bigint, pos int, node int, whole boolean, key binary")
+    return scan(contexts, run, "doc_id bigint, th bigint, pos int, node int, core binary, whole binary")
 
 
 def _strings(mixed: DataFrame, length: int) -> DataFrame:
@@ -240,6 +236,11 @@ def _twice(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
 
 
+def _one_of(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row of each key."""
+    return df.groupBy(key).agg(F.min(F.struct(*columns)).alias("x")).select("x.*")
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, written: Written | None = None) -> DataFrame:
     """Stretches (doc_id, th, s, e) of documents (doc_id, text, th: a hash of the text) that repeat, with overlaps.
 
@@ -251,16 +252,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, written: Written | None = Non
     found = written.put(find_anchors(docs, length))
     each = found.select("doc_id", "th", "n", F.explode(F.arrays_zip("pos", "g", "u")).alias("x")).select("doc_id", "th", "n", "x.pos", "x.g", "x.u")
     same_gram, same_all = written.put(_twice(each, "g")), written.put(_twice(each, "u"))
-    seen = each.join(same_gram, "g").join(same_all.withColumn("all", F.lit(True)), "u", "left")
-    seen = written.put(seen.select("doc_id", "th", "n", "pos", F.coalesce("all", F.lit(False)).alias("all")))
+    seen = written.put(each.join(same_gram, "g").join(same_all.withColumn("all", F.lit(True)), "u", "left").withColumn("all", F.coalesce("all", F.lit(False))))
     sure = seen.where("all").select("doc_id", "th", F.greatest(F.col("pos") - reach, F.lit(0)).alias("s"), F.least((F.col("pos") + length).cast("bigint"), "n").alias("e"))
-    contexts = written.put(_contexts(docs, seen.where("not all"), length))
-    nodes = _nodes(contexts, length)
-    both = nodes.join(written.put(_twice(nodes, "key")), "key").groupBy("doc_id", "th", "pos", "node").agg(F.max("whole").alias("whole"))
-    both = written.put(both)
+    # What is open is compared with itself and with one of each of the surroundings that were settled.
+    open_ = seen.where("not all")
+    settled = _one_of(seen.where("all").join(open_.select("g").distinct(), "g", "left_semi"), "u", ["doc_id", "th", "pos"])
+    contexts = written.put(_contexts(docs, open_.select("doc_id", "th", "pos").unionByName(settled), length))
+    nodes = written.put(_nodes(contexts, length))
+    whole = written.put(_twice(nodes.where("whole is not null"), "whole"))
+    both = nodes.join(written.put(_twice(nodes, "core")), "core").join(whole.withColumn("all", F.lit(True)), "whole", "left")
+    both = written.put(both.withColumn("all", F.coalesce("all", F.lit(False))))
     high = F.least(F.lit(reach), NODE * F.col("node") + NODE - 1)
-    parts = both.where("whole").select("doc_id", "th", (F.col("pos") - high).alias("s"), (F.col("pos") - NODE * F.col("node") + length).cast("bigint").alias("e"))
-    mixed = both.where("not whole").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("pos").alias("p"), "node")
+    parts = both.where("all").select("doc_id", "th", (F.col("pos") - high).alias("s"), (F.col("pos") - NODE * F.col("node") + length).cast("bigint").alias("e"))
+    mixed = both.where("not all")
+    settled = _one_of(both.where("all").join(mixed.select("core").distinct(), "core", "left_semi"), "whole", ["doc_id", "th", "pos", "node"])
+    mixed = mixed.select("doc_id", "th", "pos", "node").unionByName(settled).distinct().toDF("d", "t", "p", "node")
     strings = contexts.join(mixed, contexts.doc_id.eqNullSafe(mixed.d) & (contexts.th == mixed.t) & (contexts.pos == mixed.p)).select("doc_id", "th", "pos", "node", "at", "context")
     strings = written.put(_strings(strings, length))
     single = strings.join(written.put(_twice(strings, "key")), "key").select("doc_id", "th", F.col("start").alias("s"), (F.col("start") + length).cast("bigint").alias("e"))
