@@ -201,8 +201,7 @@ class _Maker:
             if x.kind in ("p", "heading"):
                 out.append(visible(x.text, self.refs, faithful))
             elif x.kind == "code":
-                text = " ".join(x.text.split())
-                out.append(f"`{text}`" if faithful and False else text)
+                out.append(" ".join(x.text.split()))
             todo += x.children[::-1]
         return " ".join(x for x in out if x)
 
