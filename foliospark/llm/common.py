@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +27,32 @@ def hex_sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+#: Bytes of texts that a task works on at once; a longer text is worked on alone.
+PART_BYTES = 4 << 20
+
+
+def parts(batches: Iterator[pa.RecordBatch], most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about most bytes, one row at least; no row is copied."""
+    for b in batches:
+        if b.nbytes <= most:
+            if b.num_rows:
+                yield b
+            continue
+        size = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        piece = (np.cumsum(size) - size) // most
+        for low, high in zip(starts := np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]), [*starts[1:], b.num_rows], strict=True):
+            yield b.slice(low, high - low)
+
+
 def scan(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Applies fn to each Arrow batch. Spark bounds a batch by rows and bytes."""
+    """Applies fn to each Arrow batch, in slices of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows and (out := fn(b)) is not None:
+        for b in parts(batches):
+            if (out := fn(b)) is not None:
                 yield out
 
     return df.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import LOWER, flat, hex_sha256, scan, table
+from .common import LOWER, flat, hex_sha256, parts, scan, table
 
 #: Words of a window, and bytes of benchmark text that a task holds at once.
 WINDOW, BLOCK_BYTES = 10, 32 << 20
@@ -223,7 +223,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return b.filter(pa.array(hits(b.column("text"), tests, window)[1] == 0))
 
-    return docs.mapInArrow(lambda it: (x for b in it if b.num_rows and (x := run(b)).num_rows), docs.schema)
+    return docs.mapInArrow(lambda it: (x for b in parts(it) if (x := run(b)).num_rows), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

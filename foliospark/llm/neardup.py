@@ -20,8 +20,11 @@ from .decontam import _mixed, hashed, rolling
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
 SHINGLE, PERCENT = 5, 80
-#: Buckets of up to SMALL texts are paired at once; larger ones by their first text, then block by block of about BLOCK.
-SMALL, BLOCK = 16, 256
+#: Turns in which buckets' leaders are compared with their nodes, and a node's best leaders that are confirmed. After that,
+#: buckets of up to SMALL nodes are paired, larger ones compared block by block of about BLOCK.
+TURNS, STARS, SMALL, BLOCK = 2, 3, 16, 1024
+#: Least hashes of a set that decide within a block.
+LOWEST = 512
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.frombuffer(LOWER, np.uint8)
@@ -122,17 +125,32 @@ class Links:
         got = self.written.put(scan(rows, run, "set_key binary, hashes binary").dropDuplicates(["set_key"]))
         self.sets = got if self.sets is None else self.written.put(self.sets.unionByName(got))
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of which 100 * intersection >= percent * union."""
+    def lowest(self, needed: DataFrame) -> DataFrame:
+        """(set_key, low): the LOWEST least hashes of each set, 32 bits of each, sorted."""
+        self._read(needed)
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            low = [np.sort((np.frombuffer(x, np.uint64)[:LOWEST] >> np.uint64(31)).astype(np.uint32)).tobytes() for x in b.column("hashes").to_pylist()]
+            return pa.RecordBatch.from_pydict({"set_key": b.column("set_key"), "low": pa.array(low, pa.binary())})
+
+        return scan(self.sets, run, "set_key binary, low binary")
+
+    def confirm(self, pairs: DataFrame, best: int | None = None) -> DataFrame:
+        """The pairs (a, b) of which 100 * intersection >= percent * union; with best, of those b's best by their sketches."""
         percent = self.percent
         r = self.reps.select("set_key", "n_shingles", "bands")
         wide = pairs.join(r.toDF("a", "n_a", "s_a"), "a").join(r.toDF("b", "n_b", "s_b"), "b")
 
         def sieve(b: pa.RecordBatch) -> pa.RecordBatch:
-            ok = likely(_sketches(b.column("s_a")), _sketches(b.column("s_b")), b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), percent)
-            return b.select(["a", "b"]).filter(pa.array(ok))
-
-        left = self.written.put(scan(wide, sieve, "a binary, b binary"))
+            x, y = _sketches(b.column("s_a")), _sketches(b.column("s_b"))
+            ok = likely(x, y, b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), percent)
+            return b.select(["a", "b"]).append_column("est", pa.array(estimate(x, y)[0])).filter(pa.array(ok))
+
+        left = scan(wide, sieve, "a binary, b binary, est double")
+        if best is not None:
+            top = F.slice(F.sort_array(F.collect_list(F.struct("est", "a")), False), 1, best)
+            left = left.groupBy("b").agg(top.alias("top")).select(F.explode("top.a").alias("a"), "b")
+        left = self.written.put(left.select("a", "b"))
         self._read(left.select(F.explode(F.array("a", "b")).alias("set_key")).distinct())
         both = left.join(self.sets.toDF("a", "h_a"), "a").join(self.sets.toDF("b", "h_b"), "b")
 
@@ -152,10 +170,10 @@ class Links:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """A row per row of docs (doc_id, text): n_shingles, component_id (the least doc_id that links reach), kept.
 
-    Equal sets are one node, so copies make no pairs. Nodes that share a band are candidates: all pairs of small
-    buckets, the first node with each other one of large buckets. Where a large bucket still holds several components,
-    blocks of it are compared by their sketches, and only likely pairs of different components leave the task. Links
-    are confirmed on full sets. No step gathers a bucket or a component in one task or on the driver.
+    Equal sets are one node, so copies make no pairs. Nodes that share a band are candidates. In the first turns each node
+    is compared with the leaders of its buckets, and the best by their sketches are confirmed on full sets, so a group of
+    near copies costs a few pairs a node. Buckets that still hold several components have all their likely pairs across
+    components confirmed. No step gathers a bucket or a component in one task or on the driver.
     A null or empty text has no shingles, is linked with nothing and kept. A row without doc_id takes part; it is kept
     only if no row of its component has a doc_id. Rows with equal doc_id share a decision only if their sets are linked.
     """
@@ -166,23 +184,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     slim = sig.where("set_key is not null").groupBy("set_key").agg(first, F.min("n_shingles").alias("n_shingles"), F.min("bands").alias("bands"))
     reps = written.put(slim.select("set_key", "f.doc_id", "f.th", "n_shingles", "bands"))
     bands = reps.select("set_key", F.posexplode("bands").alias("band", "value")).where("value <> -1")
-    buckets = written.put(bands.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("set_key").alias("pivot")).where("n > 1"))
-    members = written.put(bands.join(buckets, ["band", "value"]))
-    few = members.where(F.col("n").between(3, SMALL)).select("band", "value", "set_key")
-    pairs = few.withColumnRenamed("set_key", "a").join(few.withColumnRenamed("set_key", "b"), ["band", "value"]).where("a < b").select("a", "b")
-    stars = members.where((F.col("n") == 2) | (F.col("n") > SMALL)).where("pivot <> set_key").select(F.col("pivot").alias("a"), F.col("set_key").alias("b"))
+    buckets = bands.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    members = written.put(bands.join(buckets, ["band", "value"]).select("band", "value", "n", "set_key", F.col("set_key").alias("component")))
     known = Links(docs, reps, written, shingle, percent)
-    links = known.confirm(written.put(stars.unionByName(pairs).distinct()))
-    found = written.put(components(docs.sparkSession, links))
-    large = members.where(F.col("n") > SMALL)
-    if not large.isEmpty():
-        large = large.join(found, large.set_key == found.id, "left").select("band", "value", "n", "set_key", F.coalesce("component", "set_key").alias("component"))
-        large = written.put(large)
-        split = written.put(large.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "value"))
-        rest = blockwise(large.join(split, ["band", "value"]), reps, percent)
-        more = known.confirm(written.put(rest.distinct()))
-        if not more.isEmpty():
-            found = written.put(components(docs.sparkSession, links.unionByName(more)))
+    found = docs.sparkSession.createDataFrame([], "id binary, component binary")
+    for turn in range(TURNS + 1):
+        # Buckets whose nodes are all linked already have nothing to add.
+        split = members.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "value")
+        members = members.join(split, ["band", "value"])
+        if turn:
+            members = written.put(members)
+        pairs = stars(members, turn) if turn < TURNS else across(members, reps, known, percent)
+        more = known.confirm(written.put(pairs.distinct()), STARS if turn < TURNS else None)
+        found = written.put(merged(docs.sparkSession, found, more))
+        if turn < TURNS:
+            own = members.join(found, members.set_key == found.id, "left")
+            members = own.select("band", "value", "n", "set_key", F.coalesce(found.component, "set_key").alias("component"))
     label = reps.join(found, reps.set_key == found.id, "left").select("set_key", "doc_id", F.coalesce("component", "set_key").alias("component"))
     label = written.put(label)
     ids = written.put(label.groupBy("component").agg(F.min("doc_id").alias("component_id")))
@@ -192,31 +209,72 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def blockwise(large: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of different components within each bucket, block against block of about BLOCK nodes."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = large.join(reps.select("set_key", "n_shingles", "bands"), "set_key").withColumn("blocks", blocks)
-    own = own.withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+def stars(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each bucket's leader, another one each turn, with the nodes of other components: a few pairs a node."""
+    lead = members.groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("set_key", "band", F.lit(turn)), "set_key", "component")).alias("p")).select("band", "value", F.col("p.set_key").alias("a"), F.col("p.component").alias("ca"))
+    return members.join(lead, ["band", "value"]).where("component <> ca").select("a", F.col("set_key").alias("b"))
+
+
+def merged(spark: SparkSession, found: DataFrame, more: DataFrame) -> DataFrame:
+    """found (id, component) with the links more: only components that more joins are worked on."""
+
+    def name(x: DataFrame, k: str) -> DataFrame:
+        return x.join(found.toDF("id", f"c{k}"), F.col(k) == F.col("id"), "left").withColumn(f"c{k}", F.coalesce(f"c{k}", k)).drop("id")
+
+    joined = components(spark, name(name(more, "a"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("was", "now")
+    alone = joined.join(found.select(F.col("id").alias("was")), "was", "left_anti").select(F.col("was").alias("id"), F.col("was").alias("component"))
+    return found.unionByName(alone).join(joined, F.col("component") == F.col("was"), "left").select("id", F.coalesce("now", "component").alias("component"))
+
+
+def across(members: DataFrame, reps: DataFrame, known: Links, percent: int) -> DataFrame:
+    """All pairs of different components within buckets that may be links. Small buckets are joined with themselves. In a
+    large one the nodes outside its largest component meet all nodes, block by block of about BLOCK, each pair in the
+    first band that it shares. Short hashes of sets up to LOWEST decide there; only pairs that they let pass leave a task."""
+    few = members.where(F.col("n") <= SMALL).select("band", "value", "set_key", "component")
+    pairs = few.toDF("band", "value", "a", "ca").join(few.toDF("band", "value", "b", "cb"), ["band", "value"]).where("a < b and ca <> cb").select("a", "b")
+    large = members.where(F.col("n") > SMALL)
+    sizes = large.groupBy("band", "value", "component").agg(F.count("*").alias("k")).groupBy("band", "value").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("all"))
+    own = large.join(sizes, ["band", "value"]).join(reps.select("set_key", "n_shingles", "bands"), "set_key").join(known.lowest(large.select("set_key").distinct()), "set_key")
+    minor = F.col("component") != F.col("top.component")
+    block = lambda n: F.pmod(F.xxhash64("set_key"), F.greatest(F.ceil(n / BLOCK), F.lit(1))).cast("int")
+    last = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int") - 1
+    n_minor, n_all = F.col("all") - F.col("top.k"), F.col("all")
+    columns = ["band", "value", "i", "j", "side", "set_key", "n_shingles", "bands", "low", "component"]
+    left = own.where(minor).withColumn("i", block(n_minor)).withColumn("j", F.explode(F.sequence(F.lit(0), last(n_all)))).withColumn("side", F.lit(0)).select(columns)
+    right = own.withColumn("j", block(n_all)).withColumn("i", F.explode(F.sequence(F.lit(0), last(n_minor)))).withColumn("side", F.lit(1)).select(columns)
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        keys = t.column("set_key").to_pylist()
-        s = np.concatenate([_sketches(c) for c in t.column("bands").chunks]) if t.num_rows else np.zeros((0, REGISTERS), np.uint16)
-        n, block = t.column("n_shingles").to_numpy(), t.column("own").to_numpy()
+        keys, low = t.column("set_key").to_pylist(), [np.frombuffer(x, np.uint32) for x in t.column("low").to_pylist()]
+        s = np.concatenate([_sketches(c) for c in t.column("bands").chunks])
+        wide, band = s.view(np.int64), t.column("band")[0].as_py()
+        n, side = t.column("n_shingles").to_numpy(), t.column("side").to_numpy()
         component = pd.factorize(pd.Series(t.column("component").to_pylist()))[0]
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        left, right = np.nonzero(block == i)[0], np.nonzero(block == j)[0]
+        y_all = np.nonzero(side == 1)[0]
+        earlier = wide[:, :band].copy()
+        earlier[earlier == -1] = 0  # empty registers aren't shared
         a, b = [], []
-        for x in left:
-            y = right[(component[right] != component[x]) & ((right > x) if i == j else True)]
+        for x in np.nonzero(side == 0)[0]:
+            y = y_all[component[y_all] != component[x]]
             y = y[likely(s[x][None], s[y], n[x], n[y], percent)] if len(y) else y
-            a += [min(keys[x], keys[k]) for k in y]
-            b += [max(keys[x], keys[k]) for k in y]
+            y = y[~((earlier[y] == earlier[x]) & (earlier[x] != 0)).any(1)] if len(y) else y  # seen in an earlier band
+            if not len(y):
+                continue
+            whole = (n[y] <= LOWEST) & (n[x] <= LOWEST)
+            cat = np.concatenate([low[k] for k in y])
+            at = np.searchsorted(low[x], cat)
+            same = low[x][np.minimum(at, len(low[x]) - 1)] == cat
+            starts = np.cumsum([0] + [len(low[k]) for k in y[:-1]])
+            both = np.add.reduceat(same.astype(np.int64), starts)
+            union = n[x] + n[y] - both
+            for k in np.nonzero(~whole | (100 * (both + 3) >= percent * (union - 3)))[0]:
+                if component[y[k]] != component[x]:
+                    a.append(min(keys[x], keys[y[k]]))
+                    b.append(max(keys[x], keys[y[k]]))
+                    if whole[k] and 100 * (both[k] - 3) >= percent * (union[k] + 3):  # linked whatever short hashes hide
+                        component[component == component[y[k]]] = component[x]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return own.select("band", "value", "i", "j", "own", "set_key", "n_shingles", "bands", "component").groupBy("band", "value", "i", "j").applyInArrow(run, "a binary, b binary")
+    return pairs.unionByName(left.unionByName(right).groupBy("band", "value", "i", "j").applyInArrow(run, "a binary, b binary"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

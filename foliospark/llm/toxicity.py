@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORDS, flat, held_out, scan, table
+from .common import LOWER, WORDS, flat, held_out, parts, scan, table
 from .decontam import _IS_WORD
 
 THRESHOLD = 0.3
@@ -199,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model({}, {})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             seen: Counter = Counter()
             clean: Counter = Counter()
             for text, toxic in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("toxic").to_pylist(), strict=True):
@@ -246,9 +246,8 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) ->
     """The rows of docs, with all their columns, that score under threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array(model.score(model.weigh(b.column("text"))) < threshold))
+        for b in parts(batches):
+            yield b.filter(pa.array(model.score(model.weigh(b.column("text"))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
