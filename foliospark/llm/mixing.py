@@ -4,6 +4,7 @@ gradient so that the expected tokens of each domain match their targets. DataFra
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,17 +36,20 @@ def features() -> dict[str, Column]:
 
 
 def _seen(docs: DataFrame) -> DataFrame:
-    """docs with n_tokens (words that white space parts) and the classifier's features as _f."""
+    """docs with n_tokens (words that white space parts), the classifier's features as _f, and a number from 0 to 1 by a hash
+    of the row as _chance."""
     words = F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), r"\s+"), "")
-    return docs.withColumn("_words", words).withColumn("_f", F.array(*features().values())).withColumn("n_tokens", F.size("_words").cast("bigint")).drop("_words")
+    chance = (F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "text"), 11) / F.lit(2.0**53)).cast("double")
+    return docs.withColumn("_words", words).withColumn("_f", F.array(*features().values())).withColumn("n_tokens", F.size("_words").cast("bigint")).withColumn("_chance", chance).drop("_words")
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame) -> dict[str, list]:
-    """Of each domain, its share of the labelled rows, and mean and variance of each feature there. One row a domain reaches
-    the driver. Labelled rows without a document, or with null labels, don't count. Repeated labels count once."""
+def fit_domains(seen: DataFrame, labels: DataFrame) -> dict[str, list]:
+    """Of each domain, its share of the labelled rows, and mean and variance of each feature there, from rows with doc_id and
+    _f. One row a domain reaches the driver. Labelled rows without a document, or with null labels, don't count. Repeated
+    labels count once."""
     m = len(features())
     names = labels.where("doc_id is not null and quality is not null").select("doc_id", F.concat(F.lit("quality="), "quality").alias("domain")).distinct()
-    rows = _seen(docs.select("doc_id", "text").where("doc_id is not null")).select("doc_id", "_f").join(names, "doc_id")
+    rows = seen.where("doc_id is not null").select("doc_id", "_f").join(names, "doc_id")
     found = rows.groupBy("domain").agg(F.count("*").alias("n"), *(F.avg(F.col("_f")[i]).alias(f"m{i}") for i in range(m)), *(F.var_pop(F.col("_f")[i]).alias(f"v{i}") for i in range(m))).orderBy("domain").collect()
     total = sum(r["n"] for r in found)
     return {r["domain"]: [r["n"] / total, [r[f"m{i}"] for i in range(m)], [r[f"v{i}"] + 1e-3 for i in range(m)]] for r in found}
@@ -82,24 +86,31 @@ def _rate(history: list[list[float]], start: float, p: Column) -> Column:
     return F.aggregate(steps, F.lit(start), step)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """docs with n_tokens, domain (the likeliest), posteriors, rate, and copies: how often the row is taken.
+@dataclass
+class Plan:
+    """A fit: a few numbers a domain. history holds the steps that lead from budget to each document's rate."""
 
-    Rates are never negative; where the targets can be met, sum(rate * n_tokens * posterior) meets them for each domain
-    within CLOSE. copies is rate rounded up or down by a hash of the row, so its mean is the rate. Domains without
-    labelled rows leave their share to the others; without labelled rows at all, each rate is budget. Each step of the
-    fit is one aggregation of a few numbers over a written table without texts; texts are never shuffled. budget is the
-    share of all tokens to take; None takes the most for which no domain as a whole must repeat.
-    """
+    domains: dict[str, list]
+    budget: float
+    history: list[list[float]]
+
+    def put(self, seen: DataFrame) -> DataFrame:
+        """seen, rows of _seen, with domain (the likeliest), posteriors, rate and copies. A narrow pass."""
+        names, p = F.array(*map(F.lit, self.domains or ["all"])), F.col("posteriors")
+        out = seen.withColumn("posteriors", posteriors(self.domains)).withColumn("domain", F.element_at(names, F.array_position(p, F.array_max(p)).cast("int")))
+        out = out.withColumn("rate", _rate(self.history, self.budget, p))
+        return out.withColumn("copies", F.floor(F.col("rate") + F.col("_chance")).cast("bigint")).drop("_f", "_chance")
+
+
+def fit(seen: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, rounds: int = ROUNDS) -> Plan:
+    """Rates for the rows of seen, a written table of what _seen makes: each step of the fit is one aggregation of a few
+    numbers over a table without texts."""
     targets = TARGETS if targets is None else targets
-    spark = docs.sparkSession
-    domains = fit_domains(docs, labels)
-    domains = {d: x for d, x in domains.items() if targets.get(d, 0) > 0}
+    domains = {d: x for d, x in fit_domains(seen, labels).items() if targets.get(d, 0) > 0}
     k = max(1, len(domains))
     weight = [targets[d] for d in domains] or [1.0]
-    written = Written(spark)
-    seen = _seen(docs).withColumn("posteriors", posteriors(domains))
-    small = written.put(seen.select("n_tokens", "posteriors"))
+    written = Written(seen.sparkSession)
+    small = written.put(seen.select("n_tokens", posteriors(domains).alias("posteriors")))
     p = F.col("posteriors")
     tokens = F.col("n_tokens").cast("double")
     whole = [x or 0.0 for x in small.agg(*(F.sum(tokens * p[i]).alias(f"a{i}") for i in range(k))).first()]
@@ -114,9 +125,23 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
             break
         history.append([(x - t) / max(a, 1e-9) for x, t, a in zip(now, wanted, whole, strict=True)])
     written.drop(small)
-    names = F.array(*map(F.lit, domains or ["all"]))
-    chance = (F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "text"), 11) / F.lit(2.0**53)).cast("double")
-    return seen.drop("_f").withColumn("domain", F.element_at(names, F.array_position(p, F.array_max(p)).cast("int"))).withColumn("rate", _rate(history, budget, p)).withColumn("copies", F.floor(F.col("rate") + chance).cast("bigint"))
+    return Plan(domains, budget, history)
+
+
+def _slim(docs: DataFrame) -> DataFrame:
+    """What fit needs of docs, written: texts are read once for it."""
+    return Written(docs.sparkSession).put(_seen(docs.select("doc_id", "text")).select("doc_id", "n_tokens", "_f", "_chance"))
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """docs with n_tokens, domain (the likeliest), posteriors, rate, and copies: how often the row is taken.
+
+    Rates are never negative; where the targets can be met, sum(rate * n_tokens * posterior) meets them for each domain
+    within CLOSE. copies is rate rounded up or down by a hash of the row, so its mean is the rate. Domains without
+    labelled rows leave their share to the others; without labelled rows at all, each rate is budget. Texts are never
+    shuffled. budget is the share of all tokens to take; None takes the most for which no domain as a whole must repeat.
+    """
+    return fit(_slim(docs), labels, targets, budget, rounds).put(_seen(docs))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
@@ -127,5 +152,5 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: rates and copies of all documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mix(docs, table(spark, sf_dir, "labels")).select("doc_id", "n_tokens", "domain", "posteriors", "rate", "copies")
+    seen = _slim(table(spark, sf_dir, "documents"))
+    return fit(seen, table(spark, sf_dir, "labels")).put(seen).select("doc_id", "n_tokens", "domain", "posteriors", "rate", "copies")
