@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -99,12 +100,30 @@ class Written:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.paths.pop(id(df))
+        self._delete(self.paths.pop(id(df)))
+
+    def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+    def only(self, df: DataFrame) -> DataFrame:
+        """As put, and drops all tables before it."""
+        before = list(self.paths.items())
+        out = self.put(df)
+        for key, path in before:
+            self.paths.pop(key, None)
+            self._delete(path)
+        self.tidy()
+        return out
+
+    def tidy(self) -> None:
+        """Lets Spark delete shuffle files that no table needs any more, which it does only as objects are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def held_out(doc_id="doc_id"):
     """True for rows whose crc32 of doc_id as text leaves 2 when divided by 4."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2

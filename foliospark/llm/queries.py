@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprints, licenses, mixing, neardup, pii, secrets, sharding, suffix_dedup, toxicity
+from . import decontam, fingerprints, licenses, mixing, neardup, pii, secret_scans, sharding, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,7 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": toxicity.query,
         "op6_fingerprints": fingerprints.query,
         "op7_personal_data": pii.query,
-        "op8_secrets": secrets.query,
+        "op8_secrets": secret_scans.query,
         "op9_near_duplicates": neardup.query,
         "op10_sharding": sharding.query,
     }

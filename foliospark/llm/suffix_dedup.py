@@ -9,6 +9,7 @@ content-chosen anchors, counted in the cluster, with the same results.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from .decontam import _mixed
 
 #: Bytes of a string that may not repeat; bytes of an anchor; window starts that share an anchor; starts of a node.
 LENGTH, GRAM, NODE = 400, 32, 16
+#: Different surroundings of the same anchor that one task compares.
+GROUP = 4096
 #: Bytes hashed at once in a task.
 PIECE = 2 << 20
 
@@ -179,21 +182,88 @@ def find_anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return scan(docs.select("doc_id", "th", "text"), run, "doc_id bigint, th bigint, n bigint, pos array<int>, g array<bigint>, u array<binary>")
 
 
-def _contexts(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """Of each undecided anchor: its offset within the bytes that strings with it can hold, and those bytes."""
+def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """Of each wanted anchor (doc_id, th, pos, g, lone): its offset within the bytes that strings with it can hold, and those bytes."""
     reach = length - GRAM
-    own = open_.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("pos")).toDF("d", "t", "pos")
-    rows = docs.join(own, docs.doc_id.eqNullSafe(own.d) & (docs.th == own.t)).select("doc_id", "th", "text", "pos")
+    own = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "g", "lone")).alias("anchors")).toDF("d", "t", "anchors")
+    rows = docs.join(own, docs.doc_id.eqNullSafe(own.d) & (docs.th == own.t)).select("doc_id", "th", "text", "anchors").dropDuplicates(["doc_id", "th"])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "th", "pos", "at", "context")}
-        for d, t, x, pos in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("pos").to_pylist(), strict=True):
-            for p in pos:
-                for k, v in zip(out, (d, t, p, min(p, reach), x[max(0, p - reach) : p + length]), strict=True):
+        out: dict[str, list] = {k: [] for k in ("doc_id", "th", "pos", "g", "lone", "at", "context")}
+        for d, t, x, anchors in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("anchors").to_pylist(), strict=True):
+            for a in anchors:
+                p = a["pos"]
+                for k, v in zip(out, (d, t, p, a["g"], a["lone"], min(p, reach), x[max(0, p - reach) : p + length]), strict=True):
                     out[k].append(v)
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array(out["doc_id"], pa.int64()), "th": pa.array(out["th"], pa.int64()), "pos": pa.array(out["pos"], pa.int32()), "at": pa.array(out["at"], pa.int32()), "context": pa.array(out["context"], pa.binary())})
+        kinds = {"doc_id": pa.int64(), "th": pa.int64(), "pos": pa.int32(), "g": pa.int64(), "lone": pa.bool_(), "at": pa.int32(), "context": pa.binary()}
+        return pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
-    return scan(rows, run, "doc_id bigint, th bigint, pos int, at int, context binary")
+    return scan(rows, run, "doc_id bigint, th bigint, pos int, g bigint, lone boolean, at int, context binary")
+
+
+_BYTES = np.random.default_rng(7).integers(1 << 62, (1 << 63) - 1, 256, np.uint64) | np.uint64(1)
+_STEP = np.uint64(0xD1342543DE82EF95)
+
+
+def _repeated_starts(at: np.ndarray, contexts: list[bytes], length: int) -> np.ndarray:
+    """Of each context and each place of a string in it, whether that string also stands at the same place of another one."""
+    reach, m = length - GRAM, len(contexts)
+    x = np.zeros((m, reach + length), np.uint8)
+    for i, c in enumerate(contexts):
+        x[i, reach - at[i] : reach - at[i] + len(c)] = np.frombuffer(c, np.uint8)
+    size = np.array([len(c) for c in contexts])
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.r_[np.uint64(1), np.full(reach + length - 1, _STEP)])
+        sums = np.zeros((m, reach + length + 1), np.uint64)
+        np.cumsum(_BYTES[x] * power, axis=1, out=sums[:, 1:])
+        h = sums[:, length:] - sums[:, : reach + 1]  # strings are only compared with others at their own place
+    del sums, x
+    place = np.arange(reach + 1)
+    whole = (place >= (reach - at)[:, None]) & (place + length <= (reach - at + size)[:, None])
+    h[~whole] = (np.arange(m, dtype=np.uint64)[:, None] + np.zeros_like(h))[~whole]
+    h = np.ascontiguousarray(h.T)
+    order = np.argsort(h, axis=1)
+    s = np.take_along_axis(h, order, 1)
+    same = s[:, 1:] == s[:, :-1]
+    twice = np.zeros(s.shape, bool)
+    twice[:, 1:] |= same
+    twice[:, :-1] |= same
+    out = np.empty_like(twice)
+    np.put_along_axis(out, order, twice, 1)
+    return out.T & whole
+
+
+def _compared(contexts: DataFrame, length: int) -> DataFrame:
+    """Stretches of lone anchors that other anchors of the same bytes repeat. Anchors of the same bytes meet in one task, GROUP
+    at most; many such groups are compared at once."""
+    reach = length - GRAM
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) < GROUP:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            g = t.column("g").to_numpy()
+            cut = int(np.searchsorted(g, g[-1]))  # the last group may go on
+            if cut:
+                yield t.slice(0, cut)
+            held = [t.slice(cut)]
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            at, pos = b.column("at").to_numpy(), b.column("pos").to_numpy().astype(np.int64)
+            found = _repeated_starts(at, b.column("context").to_pylist(), length) & b.column("lone").to_numpy(zero_copy_only=False)[:, None]
+            edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            row, first = np.nonzero(edge == 1)
+            last = np.nonzero(edge == -1)[1] - 1
+            take = pa.array(row)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").take(take), "th": b.column("th").take(take), "s": (pos[row] - reach + first).astype(np.int32), "e": pos[row] - reach + last + length})
+
+    return contexts.repartition("g").sortWithinPartitions("g").mapInArrow(run, "doc_id bigint, th bigint, s int, e bigint")
 
 
 def _nodes(contexts: DataFrame, length: int) -> DataFrame:
@@ -244,24 +314,43 @@ def _one_of(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def repeats(docs: DataFrame, length: int = LENGTH, written: Written | None = None) -> DataFrame:
     """Stretches (doc_id, th, s, e) of documents (doc_id, text, th: a hash of the text) that repeat, with overlaps.
 
-    First the whole surroundings of an anchor are counted, then, where those differ, NODE starts at a time, then single
-    strings. Counts are summed before any shuffle, so strings that a third of all documents share stay cheap.
+    Anchors whose whole surroundings repeat are settled; of those, one represents all, so strings that a third of all
+    documents share stay cheap. The others are compared with all different surroundings of the same bytes: up to GROUP of
+    them in a task, and for more, digest by digest (see _by_digests), which no group's size holds up.
     """
     written = written or Written(docs.sparkSession)
     reach = length - GRAM
     found = written.put(find_anchors(docs, length))
     each = found.select("doc_id", "th", "n", F.explode(F.arrays_zip("pos", "g", "u")).alias("x")).select("doc_id", "th", "n", "x.pos", "x.g", "x.u")
-    same_gram, same_all = written.put(_twice(each, "g")), written.put(_twice(each, "u"))
-    seen = written.put(each.join(same_gram, "g").join(same_all.withColumn("all", F.lit(True)), "u", "left").withColumn("all", F.coalesce("all", F.lit(False))))
-    sure = seen.where("all").select("doc_id", "th", F.greatest(F.col("pos") - reach, F.lit(0)).alias("s"), F.least((F.col("pos") + length).cast("bigint"), "n").alias("e"))
-    # What is open is compared with itself and with one of each of the surroundings that were settled.
-    open_ = seen.where("not all")
-    settled = _one_of(seen.where("all").join(open_.select("g").distinct(), "g", "left_semi"), "u", ["doc_id", "th", "pos"])
-    contexts = written.put(_contexts(docs, open_.select("doc_id", "th", "pos").unionByName(settled), length))
+    by_u = written.put(each.groupBy("u").agg(F.min("g").alias("g"), F.count("*").alias("k"), F.min(F.struct("doc_id", "th", "pos")).alias("x")))
+    written.tidy()
+    settled = by_u.where("k > 1").select("u")
+    sure = each.join(settled, "u").select("doc_id", "th", F.greatest(F.col("pos") - reach, F.lit(0)).alias("s"), F.least((F.col("pos") + length).cast("bigint"), "n").alias("e"))
+    sure = written.put(sure)
+    written.tidy()
+    lone = F.col("k") == 1
+    by_g = by_u.groupBy("g").agg(F.count("*").alias("kinds"), F.count(F.when(lone, 1)).alias("lone")).where("kinds > 1 and lone > 0").select("g", "kinds")
+    wanted = written.put(by_u.join(by_g, "g").select("x.doc_id", "x.th", "x.pos", "g", "kinds", lone.alias("lone")))
+    written.drop(found)
+    written.drop(by_u)
+    near = written.put(_compared(_contexts(docs, wanted.where(F.col("kinds") <= GROUP), length), length))
+    written.tidy()
+    out = sure.unionByName(near)
+    large = wanted.where(F.col("kinds") > GROUP)
+    return out if large.isEmpty() else out.unionByName(_by_digests(docs, large, length, written))
+
+
+def _by_digests(docs: DataFrame, wanted: DataFrame, length: int, written: Written) -> DataFrame:
+    """As _compared for groups of any size: digests are counted in the cluster, first of NODE strings at a time, then, where
+    those differ, of single ones. Counts are summed before any shuffle."""
+    reach = length - GRAM
+    contexts = written.put(_contexts(docs, wanted, length))
     nodes = written.put(_nodes(contexts, length))
     whole = written.put(_twice(nodes.where("whole is not null"), "whole"))
     both = nodes.join(written.put(_twice(nodes, "core")), "core").join(whole.withColumn("all", F.lit(True)), "whole", "left")
     both = written.put(both.withColumn("all", F.coalesce("all", F.lit(False))))
+    written.drop(nodes)
+    written.tidy()
     high = F.least(F.lit(reach), NODE * F.col("node") + NODE - 1)
     parts = both.where("all").select("doc_id", "th", (F.col("pos") - high).alias("s"), (F.col("pos") - NODE * F.col("node") + length).cast("bigint").alias("e"))
     mixed = both.where("not all")
@@ -269,8 +358,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, written: Written | None = Non
     mixed = mixed.select("doc_id", "th", "pos", "node").unionByName(settled).distinct().toDF("d", "t", "p", "node")
     strings = contexts.join(mixed, contexts.doc_id.eqNullSafe(mixed.d) & (contexts.th == mixed.t) & (contexts.pos == mixed.p)).select("doc_id", "th", "pos", "node", "at", "context")
     strings = written.put(_strings(strings, length))
+    written.tidy()
     single = strings.join(written.put(_twice(strings, "key")), "key").select("doc_id", "th", F.col("start").alias("s"), (F.col("start") + length).cast("bigint").alias("e"))
-    return sure.unionByName(parts).unionByName(single).distinct()
+    return parts.unionByName(single)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -281,7 +371,9 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     collisions of 128-bit digests, and of 64-bit hashes of different texts of one doc_id.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    found = repeats(docs, length).groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")).toDF("d", "t", "spans")
+    written = Written(docs.sparkSession)
+    found = repeats(docs, length, written).groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans")).toDF("d", "t", "spans")
+    found = written.only(found)
     rows = docs.join(found, docs.doc_id.eqNullSafe(found.d) & (docs.th == found.t), "left").select("doc_id", "text", "spans")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
