@@ -134,7 +134,7 @@ def scan_text(data: bytes) -> dict:
         weights[label] = max(weight, weights.get(label, 0))
         if is_base:
             seen, at = (seen + line.count(" ", at, start), start) if start >= at else (line.count(" ", 0, start), start)
-            base.append(seen - 1 if start else 0)
+            base.append(seen)
             base_labels.add(label)
     if tagged:
         for postfix in _tags(data.decode("utf-8", "replace")):
