@@ -151,6 +151,8 @@ def pieces(text: str, references: dict[str, str]) -> list[tuple[str, str]]:
             use = 2 if o[2] >= 2 and c[2] >= 2 else 1
             o[2] -= use
             c[2] -= use
+            for d in delims[k + 1 : at]:
+                out[d[0]][1] = d[1] * d[2]
             del delims[k + 1 : at]
             at = k + 1
             if not c[2]:
