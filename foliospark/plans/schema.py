@@ -281,21 +281,26 @@ class _Loader:
             self.fail("invalid-matcher", node, str(x))
             return None
 
-    def count(self, got: dict, exempt: bool, matcher: Matcher | None, place: Node) -> tuple[int, int | None]:
+    def count(self, got: dict, exempt: bool, place: Node) -> tuple[int, int | None]:
         """Least and most; exempt rules have the default 1..1 for any matcher."""
         required, repeat = got.get("required"), got.get("repeat")
+        misshaped = [x for x, kind in ((required, "boolean"), (repeat, "string")) if x and x[1].kind != kind]
+        for x in misshaped:
+            self.fail("invalid-document-shape", x[1], f"{x[0].text} must be a {'boolean' if x is required else 'string'}")
+        if misshaped:
+            return 1, 1
         if required and repeat:
             self.fail("conflicting-cardinality", max(required[0], repeat[0], key=lambda n: (n.line, n.col)), "required beside repeat")
             return 1, 1
         if required:
             return (1, 1) if self.boolean(required, True) else (0, 1)
         if repeat:
-            m = _REPEAT.fullmatch(repeat[1].text) if repeat[1].kind == "string" else None
+            m = _REPEAT.fullmatch(repeat[1].text)
             if m and int(m[1]) <= MOST and (m[2] == "n" or max(1, int(m[1])) <= int(m[2]) <= MOST):
                 return int(m[1]), None if m[2] == "n" else int(m[2])
             self.fail("invalid-repeat", repeat[1], f"repeat {repeat[1].text}")
             return 1, 1
-        if not exempt and matcher is not None and matcher.kind != "exact":
+        if not exempt and place.kind == "string" and ("*" in place.text or len(place.text) > 1 and place.text[0] == place.text[-1] == "/"):
             self.fail("missing-cardinality", place, "a pattern needs required or repeat")
         return 1, 1
 
@@ -378,7 +383,7 @@ class _Loader:
             self.fail("invalid-document-shape", node, "a rule needs match")
             return None
         m = self.matcher(got["match"][1])
-        low, high = self.count(got, False, m, got["match"][1])
+        low, high = self.count(got, False, got["match"][1])
         ident = self.ident(got, outermost)
         before = len(self.errors)
         captures = self._captures(got.get("captures"), m)
@@ -513,7 +518,7 @@ class _Loader:
                 elif a is not None:
                     alternatives.append(a)
         ident = self.ident(got, outermost)
-        low, high = self.count(got, True, None, node)
+        low, high = self.count(got, True, node)
         inner: list = []
         if "items" in got and "block" in got:
             if alternatives[0][0] != "list":
@@ -544,7 +549,7 @@ class _Loader:
                 self.fail("invalid-document-shape", x, "an item rule needs match")
                 continue
             m = self.matcher(got["match"][1])
-            low, high = self.count(got, False, m, got["match"][1])
+            low, high = self.count(got, False, got["match"][1])
             ident = self.ident(got, outermost)
             name(ident, x, ("item", content, j))
             if m is not None:
