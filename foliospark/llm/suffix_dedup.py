@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import Written, flat, hex_sha256, scan, table
 from .decontam import _mixed
 
-#: Bytes of a string that may not repeat; bytes of an anchor; window starts that share an anchor; starts of a node.
-LENGTH, GRAM, NODE = 400, 32, 16
+#: Bytes of a string that may not repeat; bytes of an anchor; strings that are told by one digest, each a multiple of the next.
+LENGTH, GRAM, WIDTHS = 400, 32, (96, 16)
 #: Different surroundings of the same anchor that one task compares.
 GROUP = 4096
 #: Bytes hashed at once in a task.
@@ -266,40 +266,41 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.repartition("g").sortWithinPartitions("g").mapInArrow(run, "doc_id bigint, th bigint, s int, e bigint")
 
 
-def _nodes(contexts: DataFrame, length: int) -> DataFrame:
-    """Of each anchor and each NODE offsets of it: a digest of what all its strings share, and of what they span (null where
-    the text's end cuts some off)."""
+def _nodes(contexts: DataFrame, length: int, width: int) -> DataFrame:
+    """Of each context and each width offsets between its lo and hi: a digest of what all strings at those share, and of what
+    they span (null where the text's end cuts some off)."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        row, node, core, whole = [], [], [], []
-        for i, (a, x) in enumerate(zip(b.column("at").to_pylist(), b.column("context").to_pylist(), strict=True)):
-            low, high = max(0, a + length - len(x)), min(length - GRAM, a)
-            for j in range(low // NODE, high // NODE + 1):
-                first, last = NODE * j, min(NODE * j + NODE - 1, length - GRAM)
+        row, lo, hi, core, whole = [], [], [], [], []
+        for i, (a, x, f, t) in enumerate(zip(*(b.column(c).to_pylist() for c in ("at", "context", "lo", "hi")), strict=True)):
+            low, high = max(f, a + length - len(x)), min(t, a)
+            for j in range(low // width, high // width + 1):
+                first, last = width * j, min(width * j + width - 1, length - GRAM)
                 row.append(i)
-                node.append(j)
-                core.append(_digest(x[a - first : a - last + length], j, 1))
-                whole.append(_digest(x[a - last : a - first + length], j, 2) if low <= first and last <= high else None)
+                lo.append(first)
+                hi.append(last)
+                core.append(_digest(x[a - first : a - last + length], first, 2 * width))
+                whole.append(_digest(x[a - last : a - first + length], first, 2 * width + 1) if low <= first and last <= high else None)
         at = pa.array(row, pa.int32())
-        return pa.RecordBatch.from_pydict({k: b.column(k).take(at) for k in ("doc_id", "th", "pos")} | {"node": pa.array(node, pa.int32()), "core": pa.array(core, pa.binary()), "whole": pa.array(whole, pa.binary())})
+        return pa.RecordBatch.from_pydict({k: b.column(k).take(at) for k in ("doc_id", "th", "pos")} | {"lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32()), "core": pa.array(core, pa.binary()), "whole": pa.array(whole, pa.binary())})
 
-    return scan(contexts, run, "doc_id bigint, th bigint, pos int, node int, core binary, whole binary")
+    return scan(contexts, run, "doc_id bigint, th bigint, pos int, lo int, hi int, core binary, whole binary")
 
 
-def _strings(mixed: DataFrame, length: int) -> DataFrame:
-    """The strings of each mixed node: where each starts, and its digest (with its anchor's offset)."""
+def _strings(contexts: DataFrame, length: int) -> DataFrame:
+    """The strings of each context at offsets from lo to hi: where each starts, and its digest (with its anchor's offset)."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         row, start, key = [], [], []
-        for i, (a, x, p, j) in enumerate(zip(b.column("at").to_pylist(), b.column("context").to_pylist(), b.column("pos").to_pylist(), b.column("node").to_pylist(), strict=True)):
-            for d in range(max(NODE * j, a + length - len(x)), min(NODE * j + NODE - 1, length - GRAM, a) + 1):
+        for i, (a, x, p, f, t) in enumerate(zip(*(b.column(c).to_pylist() for c in ("at", "context", "pos", "lo", "hi")), strict=True)):
+            for d in range(max(f, a + length - len(x)), min(t, a) + 1):
                 row.append(i)
                 start.append(p - d)
-                key.append(_digest(x[a - d : a - d + length], d, 3))
+                key.append(_digest(x[a - d : a - d + length], d, 1))
         at = pa.array(row, pa.int32())
         return pa.RecordBatch.from_pydict({k: b.column(k).take(at) for k in ("doc_id", "th")} | {"start": pa.array(start, pa.int32()), "key": pa.array(key, pa.binary())})
 
-    return scan(mixed, run, "doc_id bigint, th bigint, start int, key binary")
+    return scan(contexts, run, "doc_id bigint, th bigint, start int, key binary")
 
 
 def _twice(df: DataFrame, key: str) -> DataFrame:
@@ -341,26 +342,28 @@ def repeats(docs: DataFrame, length: int = LENGTH, written: Written | None = Non
 
 
 def _by_digests(docs: DataFrame, wanted: DataFrame, length: int, written: Written) -> DataFrame:
-    """As _compared for groups of any size: digests are counted in the cluster, first of NODE strings at a time, then, where
-    those differ, of single ones. Counts are summed before any shuffle."""
-    reach = length - GRAM
+    """As _compared for groups of any size: digests are counted in the cluster, first of many strings at a time, then, where
+    those differ, of fewer, and last of single ones. Counts are summed before any shuffle."""
     contexts = written.put(_contexts(docs, wanted, length))
-    nodes = written.put(_nodes(contexts, length))
-    whole = written.put(_twice(nodes.where("whole is not null"), "whole"))
-    both = nodes.join(written.put(_twice(nodes, "core")), "core").join(whole.withColumn("all", F.lit(True)), "whole", "left")
-    both = written.put(both.withColumn("all", F.coalesce("all", F.lit(False))))
-    written.drop(nodes)
-    written.tidy()
-    high = F.least(F.lit(reach), NODE * F.col("node") + NODE - 1)
-    parts = both.where("all").select("doc_id", "th", (F.col("pos") - high).alias("s"), (F.col("pos") - NODE * F.col("node") + length).cast("bigint").alias("e"))
-    mixed = both.where("not all")
-    settled = _one_of(both.where("all").join(mixed.select("core").distinct(), "core", "left_semi"), "whole", ["doc_id", "th", "pos", "node"])
-    mixed = mixed.select("doc_id", "th", "pos", "node").unionByName(settled).distinct().toDF("d", "t", "p", "node")
-    strings = contexts.join(mixed, contexts.doc_id.eqNullSafe(mixed.d) & (contexts.th == mixed.t) & (contexts.pos == mixed.p)).select("doc_id", "th", "pos", "node", "at", "context")
-    strings = written.put(_strings(strings, length))
+    now = contexts.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(length - GRAM))
+    out = None
+    for width in WIDTHS:
+        nodes = written.put(_nodes(now, length, width))
+        whole = written.put(_twice(nodes.where("whole is not null"), "whole"))
+        both = nodes.join(written.put(_twice(nodes, "core")), "core").join(whole.withColumn("all", F.lit(True)), "whole", "left")
+        both = written.put(both.withColumn("all", F.coalesce("all", F.lit(False))))
+        written.drop(nodes)
+        written.tidy()
+        parts = both.where("all").select("doc_id", "th", (F.col("pos") - F.col("hi")).alias("s"), (F.col("pos") - F.col("lo") + length).cast("bigint").alias("e"))
+        out = parts if out is None else out.unionByName(parts)
+        mixed = both.where("not all")
+        settled = _one_of(both.where("all").join(mixed.select("core").distinct(), "core", "left_semi"), "whole", ["doc_id", "th", "pos", "lo", "hi"])
+        mixed = mixed.select("doc_id", "th", "pos", "lo", "hi").unionByName(settled).distinct().toDF("d", "t", "p", "lo", "hi")
+        now = contexts.join(mixed, contexts.doc_id.eqNullSafe(mixed.d) & (contexts.th == mixed.t) & (contexts.pos == mixed.p)).select("doc_id", "th", "pos", "lo", "hi", "at", "context")
+    strings = written.put(_strings(now, length))
     written.tidy()
     single = strings.join(written.put(_twice(strings, "key")), "key").select("doc_id", "th", F.col("start").alias("s"), (F.col("start") + length).cast("bigint").alias("e"))
-    return parts.unionByName(single)
+    return out.unionByName(single)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
