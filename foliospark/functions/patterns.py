@@ -1,4 +1,8 @@
-"""Matchers of headings and items: exact, glob, anchored regex in linear time, or anything."""
+"""Matchers of headings and items: exact, glob, anchored regex, or anything.
+
+A regex runs in linear time in RE2. Short texts of ASCII against tame patterns go to Python's engine instead, which starts
+faster and gives the same results there.
+"""
 
 from __future__ import annotations
 
@@ -22,12 +26,17 @@ class PatternError(ValueError):
     pass
 
 
+#: Characters up to which a text may go to the quick engine.
+QUICK = 256
+
+
 @dataclass(eq=False)
 class _Group:
     name: str
     up: _Group | None
     alternatives: bool = False
     optional: bool = False
+    repeats: bool = False
 
 
 def translate(body: str) -> tuple[str, dict[str, bool]]:
@@ -35,7 +44,15 @@ def translate(body: str) -> tuple[str, dict[str, bool]]:
 
     Groups without a name no longer capture; \\/ is a slash; a bare slash, look-around and back references are errors.
     """
+    pattern, groups, _ = _translate(body)
+    return pattern, groups
+
+
+def _translate(body: str) -> tuple[str, dict[str, bool], bool]:
+    """As translate, and whether the pattern is tame: of ASCII, and no group that repeats holds repetition or alternatives, so
+    that an engine that backtracks does little of it."""
     out, groups, top, i = [], [], _Group("", None), 0
+    tame = body.isascii() and not re.search(r"\\[pPxuUCQ]|\[:|\(\?[a-zA-Z-]+\)|[*+?}][+?]", body) and len(re.findall(r"[*+{]", body)) <= 6
     while i < len(body):
         ch = body[i]
         closed = None
@@ -86,10 +103,14 @@ def translate(body: str) -> tuple[str, dict[str, bool]]:
             i += 1
         else:
             top.alternatives |= ch == "|"
+            top.repeats |= ch in "*+?{"
             out.append(ch)
             i += 1
-        if closed is not None and (m := _QUANTIFIER.match(body, i)) and (m[0] in "*?" or m[1] is not None and int(m[1]) == 0):
-            closed.optional = True
+        if closed is not None and (m := _QUANTIFIER.match(body, i)):
+            closed.optional = m[0] in "*?" or m[1] is not None and int(m[1]) == 0
+            tame &= not (closed.repeats or closed.alternatives)
+        if closed is not None:
+            top.repeats |= closed.repeats
     if top.up is not None:
         raise PatternError("a bracket is not closed")
 
@@ -105,7 +126,7 @@ def translate(body: str) -> tuple[str, dict[str, bool]]:
     names = [g.name for g in groups]
     if len(set(names)) < len(names):
         raise PatternError("a group name repeats")
-    return "".join(out), {g.name: sure(g) for g in groups}
+    return "".join(out), {g.name: sure(g) for g in groups}, tame
 
 
 def _brackets(body: str, i: int) -> tuple[str, int]:
@@ -143,18 +164,25 @@ class Matcher:
     match_case: bool = False
     pattern: str = ""
     groups: dict[str, bool] = field(default_factory=dict)
+    quick: re.Pattern | None = field(default=None, repr=False, compare=False)
     seen: dict[str, bool] = field(default_factory=dict, repr=False, compare=False)
 
     @staticmethod
     def of(text: str, match_case: bool = False) -> Matcher:
         """Raises PatternError."""
         if len(text) > 1 and text[0] == text[-1] == "/":
-            body, groups = translate(text[1:-1])
+            body, groups, tame = _translate(text[1:-1])
             m = Matcher("regex", text[1:-1].replace("\\/", "/"), match_case, rf"{'' if match_case else '(?i)'}\A(?:{body})\z", groups)
             try:
                 pc.match_substring_regex(pa.array([""]), m.pattern)
             except pa.ArrowInvalid as x:
                 raise PatternError(str(x)) from None
+            if tame:
+                plain = re.sub(r"(?<!\\)\(\?<(?=[A-Za-z_])", "(?P<", text[1:-1]).replace("\\/", "/")
+                try:
+                    m.quick = re.compile(plain, re.ASCII | (0 if match_case else re.IGNORECASE))
+                except re.error:
+                    m.quick = None
             return m
         if text == "*":
             return Matcher("any", "*", match_case)
@@ -171,6 +199,8 @@ class Matcher:
         if text is None:
             return False
         if self.kind == "regex":
+            if self.quick is not None and len(text) <= QUICK and text.isascii():
+                return self.quick.fullmatch(text) is not None
             if text not in self.seen:
                 if len(self.seen) > 100_000:
                     self.seen.clear()
@@ -191,6 +221,9 @@ class Matcher:
         return True
 
     def captures(self, text: str) -> dict[str, str]:
+        if self.quick is not None and len(text) <= QUICK and text.isascii():
+            m = self.quick.fullmatch(text)
+            return m.groupdict() if m else {}
         return pc.extract_regex(pa.array([text]), self.pattern)[0].as_py() or {}
 
     def column(self, text: Column) -> Column:

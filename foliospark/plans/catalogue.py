@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,11 @@ def by_document(found: DataFrame, *columns: str) -> DataFrame:
     return found.groupBy("doc_id", "id", *columns).agg(F.count("*").alias("n"))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A node table that a plan reads more than once: parsed once, on disk where memory ends, parsed again if an executor goes."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 # Parsing and structure.
 
 
@@ -54,7 +60,7 @@ def parse_sections(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT doc_id, count(*) AS n FROM {_L} WHERE l_quantity > 25 GROUP BY doc_id")
 def skipped_levels(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.when(F.col("l_quantity") > 25, "#### ").otherwise("## "), F.col("l_linenumber").cast("string"))
-    return relational.skipped_levels(parse.nodes(r.order_documents(spark, d, text))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return relational.skipped_levels(kept(parse.nodes(r.order_documents(spark, d, text)))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, 'skipped-level' AS id, count(*) AS n FROM {_L} WHERE l_quantity > 25 GROUP BY doc_id")
@@ -145,7 +151,7 @@ def cardinality_missing(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CASE WHEN n = 0 THEN 'missing-section' WHEN n < 2 THEN 'too-few-sections' ELSE 'too-many-sections' END AS id, n, CASE WHEN n > 4 THEN 6 ELSE -1 END::int AS node_id FROM (SELECT doc_id, count(l_orderkey) AS n FROM {_L} GROUP BY doc_id) WHERE n < 2 OR n > 4")
 def cardinality_by_plan(spark: SparkSession, d: str) -> DataFrame:
-    n = parse.nodes(r.order_documents(spark, d, r.line_heading()))
+    n = kept(parse.nodes(r.order_documents(spark, d, r.line_heading())))
     rules = [("/Line .*/", 2, 4)]
     scopes = n.where("level = 1").select("doc_id", F.col("node_id").alias("parent_id"))
     taken = relational.classify(n.where("level = 2"), [m for m, _, _ in rules])
@@ -157,7 +163,7 @@ _FLAGS = 'sections:\n- {match: A, repeat: "0..n"}\n- {match: N, repeat: "0..n"}\
 
 @query(f"SELECT l_orderkey AS doc_id, bool_and(coalesce(l_returnflag >= p, true)) AS accepted FROM (SELECT *, lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY rn) AS p FROM {_SEQ} s) GROUP BY 1")
 def ordered_accept(spark: SparkSession, d: str) -> DataFrame:
-    n = parse.nodes(r.order_documents(spark, d, r.flag_heading())).where("level = 2")
+    n = kept(parse.nodes(r.order_documents(spark, d, r.flag_heading())).where("level = 2"))
     return relational.assign_ordered(n, [("A", 0, None), ("N", 0, None), ("R", 0, None)]).groupBy("doc_id").agg(F.bool_and("accepted").alias("accepted"))
 
 
@@ -175,14 +181,14 @@ def ordered_recovery(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_RECOVERY.replace("'misplaced-section' AS id, ", ""))
 def ordered_recovery_by_plan(spark: SparkSession, d: str) -> DataFrame:
-    n = parse.nodes(r.order_documents(spark, d, r.flag_heading())).where("level = 2")
+    n = kept(parse.nodes(r.order_documents(spark, d, r.flag_heading())).where("level = 2"))
     x = relational.assign_ordered(n, [("A", 0, None), ("N", 0, None), ("R", 0, None)])
     return x.where("rule is null").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT l_orderkey AS doc_id, count(*) FILTER (WHERE rn < coalesce(stop, 1000000)) AS n_first, count(*) FILTER (WHERE rn >= coalesce(stop, 1000000)) AS n_wild FROM (SELECT *, min(CASE WHEN l_returnflag <> 'A' THEN rn END) OVER (PARTITION BY l_orderkey) AS stop FROM {_SEQ} s) GROUP BY 1")
 def wildcard_cost(spark: SparkSession, d: str) -> DataFrame:
-    n = parse.nodes(r.order_documents(spark, d, r.flag_heading())).where("level = 2")
+    n = kept(parse.nodes(r.order_documents(spark, d, r.flag_heading())).where("level = 2"))
     x = relational.assign_ordered(n, [("a", 0, None), ("*", 0, None)])
     return x.groupBy("doc_id").agg(F.count(F.when(F.col("rule") == 0, 1)).alias("n_first"), F.count(F.when(F.col("rule") == 1, 1)).alias("n_wild"))
 
@@ -312,7 +318,7 @@ def fm_bool_read(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT event_id AS doc_id, event_type = 'click' AS is_click, {_K} >= 50 AS holds FROM events")
 def fm_values_by_plan(spark: SparkSession, d: str) -> DataFrame:
     docs = r.event_documents(spark, d, F.concat(F.lit("type: "), "event_type"), F.concat(F.lit("high: "), (F.col("k").cast("long") >= 50).cast("string")))
-    values = parse.front_values(docs)
+    values = kept(parse.front_values(docs))
     clicks = relational.front_equals(values, "/type", "string", "click").withColumn("is_click", F.lit(True))
     return relational.front_boolean(values, "/high").select("doc_id", "holds").join(clicks, "doc_id", "left").select("doc_id", F.coalesce("is_click", F.lit(False)).alias("is_click"), "holds")
 
@@ -477,14 +483,14 @@ def read_section(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT l_orderkey AS doc_id, '## Line ' || l_linenumber || ' - ' || strftime(l_shipdate, '%Y-%m-%d') || CASE WHEN rn < n THEN chr(10) ELSE '' END AS content FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM {_SEQ} q) s WHERE rn = 2")
 def read_section_by_plan(spark: SparkSession, d: str) -> DataFrame:
     docs = r.order_documents(spark, d, r.line_heading())
-    n = parse.nodes(docs)
+    n = kept(parse.nodes(docs))
     at = relational.resolve(n, "$.[1]").where("outcome = 'success'")
     return relational.section_text(n, docs, at).select("doc_id", "content")
 
 
 @query(f"SELECT doc_id, CASE count(*) FILTER (WHERE l_returnflag = 'A') WHEN 0 THEN 'unresolved' WHEN 1 THEN 'success' ELSE 'ambiguous' END AS outcome, count(*) FILTER (WHERE l_returnflag = 'A') AS n, CASE WHEN count(*) FILTER (WHERE l_returnflag = 'A') = 1 THEN '$.a' END AS mdpath FROM {_L} GROUP BY doc_id")
 def descendant_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return relational.resolve(parse.nodes(r.order_documents(spark, d, r.flag_heading())), "$..a").select("doc_id", "outcome", "n", "mdpath")
+    return relational.resolve(kept(parse.nodes(r.order_documents(spark, d, r.flag_heading()))), "$..a").select("doc_id", "outcome", "n", "mdpath")
 
 
 @query(f"SELECT doc_id, count(*) FILTER (WHERE l_orderkey IS NOT NULL) + 1 AS n_rows, max(CASE WHEN l_orderkey IS NULL THEN 0 ELSE 1 END)::bigint AS deepest, first('Order ' || doc_id) AS label FROM {_L} GROUP BY doc_id")
@@ -522,8 +528,8 @@ _ITEMS = "(SELECT p_brand AS path, '$/list[0]/item[' || (row_number() OVER (PART
 
 @query(f"SELECT path, mdpath FROM {_ITEMS} WHERE p_name = 'red bolt' UNION ALL SELECT p_brand, '$/list[0]' FROM part GROUP BY 1 HAVING count(*) FILTER (WHERE p_name = 'red bolt') = 0 AND count(*) FILTER (WHERE p_name LIKE 'red %') > 0 AND count(*) FILTER (WHERE p_name LIKE '% bolt') > 0")
 def search_conjunction(spark: SparkSession, d: str) -> DataFrame:
-    u = _part_units(spark, d)
-    found = search.postings(u)
+    u = kept(_part_units(spark, d))
+    found = kept(search.postings(u))
     terms = search.query_terms("Bolts, RED")
     return search.ranked(found, search.statistics(u, found, terms), terms).select("path", "mdpath")
 

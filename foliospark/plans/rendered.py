@@ -17,6 +17,9 @@ def joined(rows: DataFrame, key: str, order: tuple[str, ...], text: Column, head
     """(doc_id, source): the head of each key and the texts of its rows, which null leaves out."""
     listed = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct(*order, text.alias("_text")))))
     own = [F.first(head).alias("_head")] if head is not None else []
+    # Parsing takes far longer than a text's size tells, so its partitions are stated rather than merged by size.
+    spark = rows.sparkSession
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
     x = rows.groupBy(F.col(key).alias("doc_id")).agg(listed.alias("_x"), *own)
     body = F.transform("_x", lambda r: r["_text"])
     return x.select("doc_id", F.concat_ws(gap, *([F.col("_head")] if own else []), body).alias("source"))
