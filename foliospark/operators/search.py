@@ -17,8 +17,8 @@ FORMAT = 1
 #: Hits by default and at most; bytes of a file at most; characters of a snippet; what the context adds to a score.
 LIMIT, MOST, FILE, SNIPPET, BOOST = 10, 1000, 4 << 20, 160, 2.0
 K1, B = 1.2, 0.75
-#: Segments that a refresh leaves; more are merged into one.
-SEGMENTS = 8
+#: Segments that a refresh leaves; more are merged into one. Seconds after which a lock counts as left behind.
+SEGMENTS, STALE = 8, 6 * 3600
 
 
 def postings(units: DataFrame, stemmed: bool = True) -> DataFrame:
@@ -147,8 +147,12 @@ class Index:
         out = self.fs.create(self._path(name), True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        self.fs.delete(self._path("manifest.json"), False)
-        self.fs.rename(self._path(name), self._path("manifest.json"))
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        overwrite = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = gateway.new_array(overwrite, 1)
+        options[0] = overwrite.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        files.rename(self.fs.makeQualified(self._path(name)), self.fs.makeQualified(self._path("manifest.json")), options)  # all or nothing
         self.manifest = manifest
 
     def files(self) -> DataFrame:
@@ -168,6 +172,8 @@ class Index:
         """Brings the index up to the listed files (path, mtime, size, source). Files that can't be read lose their units.
         Raises Busy while another process refreshes."""
         lock = self._path(".lock")
+        if self.fs.exists(lock) and time.time() * 1000 - self.fs.getFileStatus(lock).getModificationTime() > STALE * 1000:
+            self.fs.delete(lock, False)  # left by a process that died
         if not self.fs.createNewFile(lock):
             raise Busy("search index is being refreshed by another process; searching the existing index")
         try:
