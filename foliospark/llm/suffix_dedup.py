@@ -20,7 +20,7 @@ from .common import Written, flat, hex_sha256, scan, table
 from .decontam import _mixed
 
 #: Bytes of a string that may not repeat; bytes of an anchor; strings that are told by one digest, each a multiple of the next.
-LENGTH, GRAM, WIDTHS = 400, 32, (96, 16)
+LENGTH, GRAM, WIDTHS = 400, 32, (192, 48, 16)
 #: Different surroundings of the same anchor that one task compares.
 GROUP = 4096
 #: Bytes hashed at once in a task.
