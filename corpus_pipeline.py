@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group linked by five-word shingles at 0.8 or more."""
-    return neardup.deduplicated(docs)
+    """One document, with the least doc_id, of each group linked by five-word shingles at 0.8 or more."""
+    return neardup.one_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,7 +177,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     A null or empty text has no shingles, is linked with nothing and kept. A row without doc_id takes part; it is kept
     only if no row of its component has a doc_id. Rows with equal doc_id share a decision only if their sets are linked.
     """
-    written = Written(docs.sparkSession)
+    return decided(docs, shingle, percent).drop("th")
+
+
+def labelled(docs: DataFrame, written: Written, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of docs, and a row of each set: set_key, doc_id and th of its first row, component."""
     docs = docs.select("doc_id", "text")
     sig = written.put(signatures(docs, shingle))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("f")
@@ -200,13 +204,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         if turn < TURNS:
             own = members.join(found, members.set_key == found.id, "left")
             members = own.select("band", "value", "n", "set_key", F.coalesce(found.component, "set_key").alias("component"))
-    label = reps.join(found, reps.set_key == found.id, "left").select("set_key", "doc_id", F.coalesce("component", "set_key").alias("component"))
-    label = written.put(label)
+    label = reps.join(found, reps.set_key == found.id, "left").select("set_key", "doc_id", "th", F.coalesce("component", "set_key").alias("component"))
+    return sig, written.put(label)
+
+
+def decided(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The rows of near_duplicates, with the hash th of their texts."""
+    written = Written(docs.sparkSession)
+    sig, label = labelled(docs, written, shingle, percent)
     ids = written.put(label.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     final = written.put(label.join(ids, "component").select("set_key", "component_id"))
-    out = sig.select("doc_id", "n_shingles", "set_key").join(final, "set_key", "left")
+    out = sig.select("doc_id", "th", "n_shingles", "set_key").join(final, "set_key", "left")
     own = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return out.select("doc_id", "th", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def stars(members: DataFrame, turn: int) -> DataFrame:
@@ -277,10 +287,36 @@ def across(members: DataFrame, reps: DataFrame, known: Links, percent: int) -> D
     return pairs.unionByName(left.unionByName(right).groupBy("band", "value", "i", "j").applyInArrow(run, "a binary, b binary"))
 
 
+def _of(docs: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
+    """Rows of docs whose doc_id (null or not) and hash of the text are among pairs (d, t), or aren't."""
+    return docs.join(pairs, docs["doc_id"].eqNullSafe(pairs["d"]) & (F.xxhash64(docs["text"]) == pairs["t"]), how)
+
+
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, with all their columns, without those that near_duplicates would not keep."""
-    gone = near_duplicates(docs, shingle, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs, with all their columns, without those with a doc_id that near_duplicates would not keep."""
+    gone = decided(docs, shingle, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct()
+    return _of(docs, gone, "left_anti")
+
+
+def one_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Exactly one row of each component that near_duplicates finds, with all columns, and all rows without shingles.
+
+    It is a row with the least doc_id, with none only if no row of the component has one; then by the hash of its text.
+    Of rows with equal doc_id and text the one whose columns have the least hash stays, so copies meet in an aggregation
+    that tasks begin on their own rows, not in one task.
+    """
+    written = Written(docs.sparkSession)
+    sig, label = labelled(docs, written, shingle, percent)
+    best = label.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("f"))
+    best = best.select(F.col("f.doc_id").alias("d"), F.col("f.th").alias("t"), F.lit(True).alias("best"))
+    pairs = sig.where("set_key is not null").groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    known = pairs.join(best, pairs["doc_id"].eqNullSafe(best["d"]) & (pairs["th"] == best["t"]), "left").where("best is null or n > 1")
+    gone = written.put(known.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("best").isNotNull().alias("tie")))
+    ties = written.put(gone.where("tie").select("d", "t"))
+    hashable = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    least = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(*hashable)).alias("row")
+    first = _of(docs, ties, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(least).select("row.*")
+    return _of(docs, gone.select("d", "t"), "left_anti").unionByName(first)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

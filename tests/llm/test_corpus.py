@@ -166,6 +166,37 @@ def test_near_duplicates_of_odd_tables(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def repeated_documents():
+    """Rows (doc_id, text, at) with repeated and null doc_ids; T and its near copy V, and U, W and X, which are unlike."""
+    t, u, w, x = (" ".join(f"{c}{i}" for i in range(60)) for c in "tuwx")
+    v = t + " end"
+    rows = [(3, t), (7, t), (7, u), (7, v), (None, v), (None, t), (None, w), (None, w), (None, w + " end"), (9, x), (9, x), (9, x), (9, x + " end"), (5, ""), (5, ""), (None, None), (None, " "), (7, None)]
+    return [(d, text, i) for i, (d, text) in enumerate(rows)]
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = repeated_documents()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, th int")
+    kept = neardup.one_each(docs)
+    got = [tuple(r) for r in kept.collect()]
+    assert kept.columns == docs.columns and set(got) <= set(rows) and len(got) == len(set(got))
+    group = lambda text: (text or "").strip()[:1]
+    assert sorted((group(t), d is None, d or 0) for d, t, _ in got if group(t)) == [("t", False, 3), ("u", False, 7), ("w", True, 0), ("x", False, 9)]
+    assert [r for r in sorted(got, key=lambda r: r[2]) if not group(r[1])] == rows[13:]
+    again = neardup.one_each(docs.repartition(7)).collect()
+    assert sorted(map(repr, map(tuple, again))) == sorted(map(repr, got))
+
+
+def test_texts_that_share_a_doc_id_are_decided_one_by_one(spark):
+    rows = repeated_documents()[:3]
+    for keep in (neardup.deduplicated, neardup.one_each):
+        got = keep(spark.createDataFrame(rows, "doc_id bigint, text string, at int")).collect()
+        assert sorted(r["at"] for r in got) == [0, 2]
+    stage = dict(pytest.importorskip("corpus_pipeline").STAGES)["near duplicates"]
+    got = stage(spark, spark.createDataFrame([(None, "a b c d e", 0), (None, "a b c d e", 1)], "doc_id bigint, text string, at int"), "")
+    assert got.count() == 1
+
+
 def test_sketches_estimate_similarity():
     a, b = np.arange(1, 1001, dtype=np.uint64), np.arange(201, 1201, dtype=np.uint64)
     mix = lambda x: np.sort(neardup._mixed(x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1))
