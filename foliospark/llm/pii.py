@@ -162,44 +162,52 @@ class Field:
                 s += g * g
                 x += rate * g / np.sqrt(s)
 
-    def ids(self, words: list[str], grow: bool = False) -> list[list[int]]:
-        """Numbers of the features of each word; unknown ones are left out unless grow."""
-        own = [features(w) for w in words]
+    def ids(self, words: list[str], grow: bool = False, low: int = 0, high: int | None = None) -> list[list[int]]:
+        """Numbers of the features of each word from low to high; unknown ones are left out unless grow."""
+        first, high = max(low - 2, 0), len(words) if high is None else min(high, len(words))
+        own = [features(w) for w in words[first : high + 1]]
         out = []
-        for i, f in enumerate(own):
-            names = list(f)
+        for i in range(low, high):
+            names = list(own[i - first])
             for d in (-2, -1, 1):
-                if 0 <= i + d < len(own):
-                    names += [f"{d}:{x}" for x in own[i + d][1:2]]
+                if 0 <= i + d < len(words):
+                    names += [f"{d}:{x}" for x in own[i + d - first][1:2]]
                 else:
                     names.append(f"{d}:edge")
             out.append([self.index.setdefault(x, len(self.index)) for x in names] if grow else [self.index[x] for x in names if x in self.index])
         return out
 
     def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """Viterbi's best labels for all sequences side by side, the longest first."""
+        """Viterbi's best labels for all sequences side by side, the longest first. Scores are made for PIECE words of each
+        at a time and carried on to the next; of all words only the labels to go back to are kept."""
         k = len(LABELS)
         order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
         n = [len(sequences[i]) for i in order]
         if not n:
             return []
-        e = np.zeros((len(order), n[0], k))
-        for r, i in enumerate(order):
-            for j, f in enumerate(self.ids(sequences[i])):
-                e[r, j] = self.w[f].sum(0)
         live = np.searchsorted(-np.array(n), -np.arange(1, n[0] + 1), "right")
-        best, back = self.t[k] + e[:, 0], np.zeros((len(order), n[0], k), np.int8)
-        for j in range(1, n[0]):
-            m = live[j]
-            s = best[:m, :, None] + self.t[None, :k]
-            back[:m, j] = s.argmax(1)
-            best[:m] = s.max(1) + e[:m, j]
+        best, back = np.zeros((len(order), k)), []
+        for low in range(0, n[0], PIECE):
+            width = min(PIECE, n[0] - low)
+            e = np.zeros((live[low], width, k))
+            for r in range(live[low]):
+                for j, f in enumerate(self.ids(sequences[order[r]], low=low, high=low + width)):
+                    e[r, j] = self.w[f].sum(0)
+            back.append(np.zeros((live[low], width, k), np.int8))
+            for j in range(width):
+                m = live[low + j]
+                if low + j == 0:
+                    best[:m] = self.t[k] + e[:m, j]
+                    continue
+                s = best[:m, :, None] + self.t[None, :k]
+                back[-1][:m, j] = s.argmax(1)
+                best[:m] = s.max(1) + e[:m, j]
         out: list = [None] * len(order)
         for r, i in enumerate(order):
             y = np.zeros(n[r], np.int8)
             y[-1] = best[r].argmax()
             for j in range(n[r] - 1, 0, -1):
-                y[j - 1] = back[r, j, y[j]]
+                y[j - 1] = back[j // PIECE][r, j % PIECE, y[j]]
             out[i] = y
         return out
 
@@ -209,12 +217,12 @@ def trained() -> Field:
     return Field()
 
 
-#: Words without digits that a sequence keeps before and after one with digits, and the longest sequence decoded at once.
-MARGIN, LONGEST = 3, 512
+#: Words without digits that a sequence keeps before and after one with digits, and words of a sequence scored at once.
+MARGIN, PIECE = 3, 512
 
 
 def sequences(text: str) -> list[list[tuple[int, int]]]:
-    """Where the words of each sequence lie: words with digits and their neighbours, in runs of at most LONGEST words.
+    """Where the words of each sequence lie: words with digits and their neighbours, in whole runs.
 
     A span must hold a digit, so words farther off take no part in one.
     """
@@ -225,7 +233,7 @@ def sequences(text: str) -> list[list[tuple[int, int]]]:
     out = []
     for run in np.split(with_digits, np.nonzero(np.diff(with_digits) > 2 * MARGIN)[0] + 1):
         low, high = max(0, run[0] - MARGIN), min(len(words), run[-1] + MARGIN + 1)
-        out += [words[i : min(i + LONGEST, high)] for i in range(low, high, LONGEST)]
+        out.append(words[low:high])
     return out
 
 

@@ -84,6 +84,23 @@ def test_viterbi_against_all_paths():
     assert list(field.decode([words])[0]) == list(best)
 
 
+def test_long_runs_are_decoded_whole():
+    text = "tél 01 23 45 67 89 merci " * 600  # each word of a number lies at some multiple of 512
+    assert len(pii.sequences(text)) == 1
+    got = pii.added_spans([text], [[]], pii.trained())[0]
+    assert got == [(len(pii.BASE), *m.span()) for m in re.finditer("01 23 45 67 89", text)]
+
+
+def test_pieces_of_viterbi_do_not_show(monkeypatch):
+    field, g = pii.trained(), np.random.default_rng(2)
+    vocabulary = "ssn 219-09-9998 born 12/05/1984 call (212) 555-0187 DE89 3704 0044 the 12".split()
+    texts = [list(g.choice(vocabulary, n)) for n in (40, 1, 7, 8, 9, 25, 16)]
+    monkeypatch.setattr(pii, "PIECE", 100)
+    whole = field.decode(texts)
+    monkeypatch.setattr(pii, "PIECE", 8)
+    assert all((a == b).all() for a, b in zip(whole, field.decode(texts), strict=True))
+
+
 def test_personal_data_of_odd_texts(spark):
     got = pii.find_personal_data(spark.createDataFrame(ODD, DOCS)).collect()
     assert len(got) == len(ODD) and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
