@@ -244,7 +244,10 @@ def across(members: DataFrame, reps: DataFrame, known: Links, percent: int) -> D
     pairs = few.toDF("band", "value", "a", "ca").join(few.toDF("band", "value", "b", "cb"), ["band", "value"]).where("a < b and ca <> cb").select("a", "b")
     large = members.where(F.col("n") > SMALL)
     sizes = large.groupBy("band", "value", "component").agg(F.count("*").alias("k")).groupBy("band", "value").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("all"))
-    own = large.join(sizes, ["band", "value"]).join(reps.select("set_key", "n_shingles", "bands"), "set_key").join(known.lowest(large.select("set_key").distinct()), "set_key")
+    # What a node carries is put together once for each node, not once for each of its buckets.
+    keys = large.select("set_key").distinct()
+    nodes = known.written.put(known.lowest(keys).join(reps.select("set_key", "n_shingles", "bands"), "set_key"))
+    own = large.join(sizes, ["band", "value"]).join(nodes, "set_key")
     minor = F.col("component") != F.col("top.component")
     block = lambda n: F.pmod(F.xxhash64("set_key"), F.greatest(F.ceil(n / BLOCK), F.lit(1))).cast("int")
     last = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int") - 1
