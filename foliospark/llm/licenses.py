@@ -32,41 +32,47 @@ PHRASES = [
 TAG = "spdx license identifier"
 #: Identifiers that a corpus may take by default; an expression is permitted if some way of fulfilling it uses these alone.
 PERMISSIVE = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "cc0-1.0", "unlicense", "zlib", "cc-by-4.0", "0bsd"})
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+_TOKEN = re.compile(rb"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
+#: What may stand between tokens; where an expression can't end yet it may go on in the next line, behind marks of a comment.
+_GAP, _WRAP = re.compile(rb"[ \t]*"), re.compile(rb"[ \t]*(?:\r?\n[ \t]*(?:(?:#+|//+|\*+|;+|--+|%+)[ \t]*)?)?")
+_WORD = re.compile(rb"[^ ]+")
 
 
-def parse_expression(text: str) -> list[str] | None:
-    """The longest licence expression at the start of text, in postfix order; None if there is none.
+def parse_expression(text: str | bytes, at: int = 0) -> list[str] | None:
+    """The longest licence expression in text from at on, in postfix order; None if there is none.
 
-    and binds closer than or, with closer than both; all read from the left. Identifiers and operators are
-    lower-cased. Unclosed brackets end the expression where it last was complete.
+    Shunting-yard, token by token until the expression ends, however long it is: and binds closer than or, with closer than
+    both; all read from the left. Identifiers and operators are lower-cased. Unclosed brackets end the expression where it
+    last was complete. Within brackets and behind an operator, the expression may go on in the next line.
     """
-    tokens, at = [], 0
-    while m := re.compile(r"[ \t]*").match(text, at):
-        if not (t := _TOKEN.match(text, m.end())):
-            break
-        tokens.append(t[0].lower())
-        at = t.end()
-    best = None
+    data = text.encode() if isinstance(text, str) else text
     out: list[str] = []
     ops: list[str] = []
-    operand = True  # whether an identifier or an opening bracket is due
-    for t in tokens:
+    best: tuple[int, list[str]] | None = None
+    operand, depth = True, 0  # whether an identifier or an opening bracket is due; open brackets
+    while True:
+        wraps = depth > 0 or (operand and bool(ops))
+        m = _TOKEN.match(data, (_WRAP if wraps else _GAP).match(data, at).end())
+        if not m:
+            break
+        t, at = m[0].decode().lower(), m.end()
         if operand:
             if t == "(":
                 ops.append(t)
+                depth += 1
                 continue
             if t in _BINDS or t == ")":
                 break
             out.append(t)
             operand = False
         elif t == ")":
-            while ops and ops[-1] != "(":
-                out.append(ops.pop())
-            if not ops:
+            if not depth:
                 break
+            while ops[-1] != "(":
+                out.append(ops.pop())
             ops.pop()
+            depth -= 1
         elif t in _BINDS:
             while ops and ops[-1] != "(" and _BINDS[ops[-1]] >= _BINDS[t]:
                 out.append(ops.pop())
@@ -75,9 +81,9 @@ def parse_expression(text: str) -> list[str] | None:
             continue
         else:
             break
-        if "(" not in ops:
-            best = out + ops[::-1]
-    return best
+        if not depth:
+            best = len(out), ops[::-1]
+    return out[: best[0]] + best[1] if best else None
 
 
 def permitted(postfix: list[str], allowed: frozenset[str] = PERMISSIVE) -> bool:
@@ -94,14 +100,17 @@ def permitted(postfix: list[str], allowed: frozenset[str] = PERMISSIVE) -> bool:
 
 def identifiers(postfix: list[str]) -> list[str]:
     """The licences named, without exceptions."""
-    stack: list[list[str]] = []
+    names: list[str] = []
+    begins: list[int] = []  # where the names of each operand begin
     for t in postfix:
         if t in _BINDS:
-            b, a = stack.pop(), stack.pop()
-            stack.append(a if t == "with" else a + b)
+            second = begins.pop()
+            if t == "with":
+                del names[second:]
         else:
-            stack.append([t])
-    return stack[0]
+            begins.append(len(names))
+            names.append(t)
+    return names
 
 
 @functools.cache
@@ -114,39 +123,49 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
-def _tags(text: str) -> list[list[str]]:
-    return [p for m in re.finditer(r"(?ai:spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier)[ \t]*:?", text) if (p := parse_expression(text[m.end() : m.end() + 4096].split("\n", 1)[0]))]
-
-
 def scan_text(data: bytes) -> dict:
     """All that one text shows: n_words, base places, labels, score and what its tags permit (None without tags)."""
-    words = data.translate(WORDS).split()
+    spaced = data.translate(WORDS)
+    words = spaced.split()
     line = f" {b' '.join(words).decode('utf-8', 'replace')} "
-    base, base_labels, labels, miss, ok, tagged = [], set(), set(), 1.0, None, False
+    base, base_labels, labels, miss, ok, tags = [], set(), set(), 1.0, None, []
     at, seen = 0, 0
     weights = {}
     for end, (back, label, is_base, weight) in automaton().iter(line):
         start = end - back
+        if is_base or label is None:
+            seen, at = (seen + line.count(" ", at, start), start) if start >= at else (line.count(" ", 0, start), start)
         if label is None:
-            tagged = True
+            tags.append(seen)
             continue
         labels.add(label)
         weights[label] = max(weight, weights.get(label, 0))
         if is_base:
-            seen, at = (seen + line.count(" ", at, start), start) if start >= at else (line.count(" ", 0, start), start)
             base.append(seen)
             base_labels.add(label)
-    if tagged:
-        for postfix in _tags(data.decode("utf-8", "replace")):
-            ok = permitted(postfix) and ok is not False
-            for x in identifiers(postfix):
-                labels.add(x)
-                weights[x] = 0.95
+    for postfix in _tagged(data, spaced, tags):
+        ok = permitted(postfix) and ok is not False
+        for x in identifiers(postfix):
+            labels.add(x)
+            weights[x] = 0.95
     for w in weights.values():
         miss *= 1 - w
     return {"n_words": len(words), "n_base": len(base), "first_word": min(base, default=None), "last_word": max(base, default=None), "base_labels": ",".join(sorted(base_labels)), "labels": ",".join(sorted(labels)), "score": 1 - miss, "permitted": ok}
 
 
+def _tagged(data: bytes, spaced: bytes, tags: list[int]) -> list[list[str]]:
+    """The expressions behind the tags that begin with these words of a text, where there are any."""
+    if not tags:
+        return []
+    wanted, out = {t + TAG.count(" ") for t in tags}, []
+    for i, m in enumerate(_WORD.finditer(spaced)):
+        if i in wanted:
+            at = _GAP.match(data, m.end()).end()
+            if found := parse_expression(data, at + (data[at : at + 1] == b":")):
+                out.append(found)
+    return out
+
+
 SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, permitted boolean"
 
 
@@ -156,7 +175,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     n_base, first_word, last_word and base_labels tell the base phrases of PHRASES alone. labels has all phrases and
     the identifiers of SPDX tags. score is the chance that some licence applies, each label a separate witness.
     permitted tells whether all tags can be fulfilled with PERMISSIVE licences; null without tags. Empty texts and
-    texts without licence have no labels, null places and score 0.
+    texts without licence have no labels, null places and score 0. Texts and expressions of any length are read to their
+    end; repeated rows give repeated rows.
     """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:

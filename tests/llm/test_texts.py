@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,6 +36,17 @@ def test_shunting_yard(text, postfix):
     assert licenses.parse_expression(text) == postfix
 
 
+def test_long_and_wrapped_expressions():
+    names = [f"lic-{i}" for i in range(3000)]
+    assert licenses.identifiers(licenses.parse_expression(" OR ".join(names))) == names
+    text = "// SPDX-License-Identifier: (MIT OR\n//   Apache-2.0) AND\n// ISC\n// BSD\nspdx license identifier - no\nSPDX-License-Identifier:Zlib WITH x OR 0BSD"
+    got = licenses.scan_text(text.encode())
+    assert got["labels"] == "0bsd,apache-2.0,isc,mit,zlib" and got["permitted"]
+    got = licenses.scan_text(("SPDX-License-Identifier: " + " OR ".join(names)).encode())
+    assert got["labels"].split(",") == sorted(names) and got["permitted"] is False
+    assert licenses.identifiers(licenses.parse_expression("a with (b or c) or d and e with f")) == ["a", "d", "e"]
+
+
 def test_permitted_needs_some_allowed_way():
     assert licenses.permitted(licenses.parse_expression("GPL-3.0 or MIT"))
     assert not licenses.permitted(licenses.parse_expression("GPL-3.0 and MIT"))
@@ -107,26 +119,45 @@ def test_personal_data_of_odd_texts(spark):
     assert pii.find_personal_data(spark.createDataFrame([], DOCS)).count() == 0
 
 
-SECRETS = [re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")]
+SECRETS = [
+    (r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8), (r"AKIA[A-Z0-9]+", 0, 16), (r"[0-9a-f]+", 0, 32), (r"gh[pousr]_[A-Za-z0-9]+", 0, 40), (r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
+    (r"AIza[0-9A-Za-z_-]+", 0, 39), (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30), (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+]
+PARTS = ["token", "Pass", "word", "passwd", "=", ":", " ", '"', "AKIA", "ABCD1234", "deadbeef" * 4, "0f", "é", "API_KEY", "-", "eyJ", "eyJab", ".eyJ", ".ccc", "-----BEGIN ", "PRIVATE KEY", "-----", "ghp_", "x" * 36, "xoxb-", "AIza", "\n", "abcdefgh", "ſecret"]
+
+
+def plain_secrets(text):
+    return sorted((m.start(), k, m.end()) for k, (p, g, n) in enumerate(SECRETS) for m in re.finditer(p, text) if len(m[g]) >= n)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=25), min_size=1, max_size=4))
+def test_secrets_against_plain_patterns(texts):
+    texts = ["".join(x) for x in texts]
+    got = secret_scans.spans(pa.array([*texts, None]))
+    assert [got.get(i, []) for i in range(len(texts))] == [plain_secrets(t) for t in texts] and len(texts) not in got
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.sampled_from(["token", "Pass", "word", "=", ":", " ", "\"", "AKIA", "ABCD1234", "deadbeef", "0f", "é", "API_KEY", "-"]), max_size=25))
-def test_base_secrets_against_plain_patterns(parts):
-    text = "".join(parts)
-    want = sorted((m.start(), k, m.end()) for k, (p, g, n) in enumerate(zip(SECRETS, (2, 0, 0), (8, 16, 32))) for m in p.finditer(text) if len(m[g]) >= n)
-    data = np.frombuffer(text.encode(), np.uint8)
-    bits = int(secret_scans.rules_in(data, np.array([0, len(data)]))[0])
-    assert [x for x in sorted(secret_scans.spans(text, bits)) if x[1] < 3] == want
+def test_secrets_at_and_beyond_lanes(monkeypatch):
+    text = ("x, token = abcdefgh1234 " + "0" * 40 + "\n-----BEGIN " + "A" * 60 + " PRIVATE KEY----- é ") * 300
+    texts = [text, "y" * 5000 + text, "", "f" * 9000, text[7:]] * 8
+    want = [plain_secrets(t) for t in texts]
+    for lane, few in ((2048, 24), (64, 1), (64, 10**6)):
+        monkeypatch.setattr(secret_scans, "LANE", lane)
+        monkeypatch.setattr(secret_scans, "FEW", few)
+        got = secret_scans.spans(pa.array(texts))
+        assert [got.get(i, []) for i in range(len(texts))] == want
 
 
-def test_automaton_against_patterns_one_by_one():
-    patterns = ["ab+c", "a(x|y)*z", "[0-9]{3}"]
-    machine = secret_scans.combined(patterns)
-    texts = [b"abbc", b"axyxz 12", b"az123", b"", b"ab", b"zzabczz 999"] * 8
-    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
-    want = [sum(1 << i for i, p in enumerate(patterns) if re.search(p.encode(), t)) for t in texts]
-    assert list(secret_scans.rules_in(data, ends, machine)) == want
+def test_machine_of_other_patterns_and_refused_ones():
+    patterns = ["ab+", "a(x|y)*z", "[0-9]{3}"]
+    rules = [("", p, "whole", 0, True) for p in patterns]
+    texts = ["abbc ab", "axyxz 12 1234567", "az123", "", "aab", "zzabczz 999 aaz"]
+    got = secret_scans.spans(pa.array(texts), secret_scans.combined(patterns[:2]), rules[:2])
+    assert [got.get(i, []) for i in range(len(texts))] == [sorted((m.start(), k, m.end()) for k, p in enumerate(patterns[:2]) for m in re.finditer(p, t)) for t in texts]
+    for refused in ("a(bc)?", "abc|b", "[0-9]"):
+        with pytest.raises(ValueError):
+            secret_scans.combined([refused])
 
 
 def test_secrets_of_odd_texts(spark):
