@@ -1,8 +1,10 @@
-"""Toxicity: weighted transducers for insult, threat, target, negation and reported speech, composed into one machine
-that reads the clauses of a text; its lexicon and its scale are learned from labelled rows."""
+"""Toxicity: weighted transducers for insult, threat, target, negation and reported speech, composed into two machines that
+read each clause of a text, one forwards and one backwards over what the first puts out; the weights of the clauses that
+they match make the score. Lexicon and scale are learned from labelled rows."""
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -13,17 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORDS, flat, held_out, parts, scan, table
+from .common import LOWER, WORDS, Written, flat, held_out, parts, scan, table
 from .decontam import _IS_WORD
 
 THRESHOLD = 0.3
 #: Most labelled rows to learn from; of a learned entry: least toxic texts, least odds against clean texts at the lower
-#: end of a 90 % interval; most entries.
-SAMPLE, SUPPORT, ODDS, ENTRIES = 20_000, 6, 12.0, 4_000
+#: end of a 90 % interval.
+SAMPLE, SUPPORT, ODDS = 20_000, 6, 12.0
 #: Bytes of a learned beginning of a word.
 STEMS = (4, 5, 6, 7)
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, MATCH = range(7)
 SEEDS = {
     INSULT: "idiot idiots moron morons loser losers stupid dumb pathetic worthless scum trash disgusting imbecile fool jerk creep bastard vermin filth freak clown idiota imbécil estúpido estúpida basura escoria asqueroso dumm dummkopf arschloch abschaum widerlich versager stupide imbécile crétin connard ordure minable dégoûtant",
     THREAT: "kill destroy hurt beat stab shoot strangle punish matar golpear destruir töten schlagen vernichten tuer frapper détruire",
@@ -31,8 +33,8 @@ SEEDS = {
     NEGATION: "not no never neither nor nobody isn aren wasn weren don doesn didn won wouldn cannot nunca jamás tampoco nicht kein keine keinen nie niemals pas jamais aucun aucune",
     REPORT: "said says saying claimed claims reported reports wrote quoted quote called calls allegedly dijo dicen informó sagte sagt behauptet berichtet dit disait déclaré rapporte",
 }
-#: What a seed counts before labels say otherwise, and what each mark does to the weight of an insult or threat.
-SEED_WEIGHT, FACTORS = 1.5, {"negated": 0.25, "reported": 0.5, "aimed": 1.25}
+#: What a seed counts before labels say otherwise, and what each mark does to the weight of a match.
+SEED_WEIGHT, FACTORS = 1.5, {"negated": 0.25, "reported": 0.5, "aimed": 1.0, "bare": 0.5}
 
 
 @dataclass(frozen=True)
@@ -56,22 +58,39 @@ class Transducer:
         return Transducer(arcs)
 
 
-def _marker(trigger: int, mark: str, known: list[frozenset[str]]) -> Transducer:
-    """Marks insults and threats that come after trigger in the clause."""
+#: All marks that a symbol may bear.
+_MARKS = [frozenset(x) for n in range(4) for x in itertools.combinations(("negated", "reported", "aimed"), n)]
+
+
+def _marker(trigger: int, mark: str) -> Transducer:
+    """Marks insults and threats that come behind trigger in the clause, in the direction of reading."""
     arcs = {}
     for state in (0, 1):
         for kind in range(6):
-            for marks in known:
+            for marks in _MARKS:
                 arcs[state, (kind, marks)] = (int(state or kind == trigger), (kind, marks | {mark} if state and kind in (INSULT, THREAT) else marks))
     return Transducer(arcs)
 
 
-def machine() -> Transducer:
-    """Negation, then reported speech, then target: one machine over word classes, restarted at each clause."""
-    none = frozenset()
-    one = [none, frozenset({"negated"})]
-    two = one + [x | {"reported"} for x in one]
-    return _marker(NEGATION, "negated", [none]).compose(_marker(REPORT, "reported", one)).compose(_marker(TARGET, "aimed", two))
+def _pattern(kind: int, needs: frozenset[str], else_: str | None) -> Transducer:
+    """Rewrites a symbol of that kind to a match with its marks, where it bears needs; where not, to a match that also bears
+    else_, or to OTHER, which is none. Matches of other patterns pass."""
+    arcs = {}
+    for k in (*range(6), MATCH):
+        for marks in [m | x for m in _MARKS for x in (frozenset(), frozenset({"bare"}))]:
+            out = (k, marks)
+            if k == kind:
+                out = (MATCH, marks) if needs <= marks else (MATCH, marks | {else_}) if else_ else (OTHER, frozenset())
+            arcs[0, (k, marks)] = (0, out)
+    return Transducer(arcs)
+
+
+def machines() -> tuple[Transducer, Transducer]:
+    """Over the word classes of a clause, forwards: negation, reported speech, targets before a word. Over what that puts out,
+    backwards: targets behind a word, then the patterns. An insult matches with a target on either side, and with less
+    weight without one; a threat only with one."""
+    aimed = frozenset({"aimed"})
+    return _marker(NEGATION, "negated").compose(_marker(REPORT, "reported")).compose(_marker(TARGET, "aimed")), _marker(TARGET, "aimed").compose(_pattern(INSULT, aimed, "bare")).compose(_pattern(THREAT, aimed, None))
 
 
 @dataclass
@@ -94,9 +113,7 @@ class Model:
         self.heads = np.unique(np.array([_head(w) for w in self.by_word], np.uint64))
         self.stem_keys = {n: np.unique(np.array([_head(s) for s in self.stems if len(s) == n], np.uint64)) for n in STEMS}
         self.clear = np.unique(np.array([_head(w) for w, (k, _) in self.by_word.items() if k in (INSULT, THREAT)], np.uint64))
-        m = machine()
-        self.states = [[m.arcs.get((s, (k, frozenset())), (s, (k, frozenset()))) for k in range(6)] for s in range(1 + max(t for t, _ in m.arcs.values()))]
-        self.factor = lambda marks: math.prod(FACTORS[x] for x in marks)
+        self.forwards, self.backwards = (m.arcs for m in machines())
 
     def __getstate__(self):
         return (self.words, self.stems, self.a, self.b)
@@ -106,7 +123,7 @@ class Model:
         self.__post_init__()
 
     def weigh(self, column: pa.Array) -> np.ndarray:
-        """Of each text: the sum over clauses of the weights of insults and threats, as the machine marks them."""
+        """Of each text: the sum of its clauses' weights."""
         data, offsets = flat(column)
         out = np.zeros(len(column))
         if not len(data):
@@ -136,17 +153,23 @@ class Model:
                 return INSULT, x
         return OTHER, 0.0
 
-    def _read(self, text: bytes, starts: list[int], length: list[int], clause: list[int]) -> float:
-        total, state, now = 0.0, 0, None
-        for s, n, c in zip(starts, length, clause, strict=True):
-            if c != now:
-                state, now = 0, c
-            kind, weight = self.entry(text[s : s + n])
-            state, (_, marks) = self.states[state][kind]
-            if kind in (INSULT, THREAT):
-                total += weight * self.factor(marks)
+    def clause(self, symbols: list[tuple[int, float]]) -> float:
+        """The weight of a clause, given as classes and weights of its words in order: that of all its matches."""
+        state, marked = 0, []
+        for kind, _ in symbols:
+            state, out = self.forwards[state, (kind, frozenset())]
+            marked.append(out)
+        state, total = 0, 0.0
+        for symbol, (_, weight) in zip(reversed(marked), reversed(symbols), strict=True):
+            state, (kind, marks) = self.backwards[state, symbol]
+            if kind == MATCH:
+                total += weight * math.prod(FACTORS[x] for x in marks)
         return total
 
+    def _read(self, text: bytes, starts: list[int], length: list[int], clause: list[int]) -> float:
+        entries = [self.entry(text[s : s + n]) for s, n in zip(starts, length, strict=True)]
+        return sum(self.clause([x for _, x in own]) for _, own in itertools.groupby(zip(clause, entries, strict=True), key=lambda x: x[0]))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.a + self.b * np.log1p(x))))
 
@@ -181,18 +204,21 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _shapes(text: bytes) -> set[bytes]:
     words = set(text.translate(WORDS).split())
-    return {b"=" + w for w in words if len(w) <= 40} | {w[:n] for w in words for n in STEMS if len(w) > n}
+    return {b"=" + w for w in words} | {w[:n] for w in words for n in STEMS if len(w) > n}
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most sample labelled rows, those that are not held out, the first by a hash of doc_id.
 
-    Words and beginnings of words are counted where the rows are; only those with enough toxic rows and odds reach
-    the driver, ENTRIES at most. Without toxic or clean rows, the seeds and the default scale stay.
+    Of documents that share a doc_id the least text counts; equal texts count once, as toxic if any is. The sample is
+    written once. Words and beginnings of words, whole whatever their length, are counted where the rows are; only those
+    with enough toxic texts and odds reach the driver, and two numbers for each row of the sample. Without toxic or clean
+    rows, the seeds and the default scale stay.
     """
     rows = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    own = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").where("text is not null").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    own = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").where("text is not null").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    own = Written(docs.sparkSession).put(own.groupBy("text").agg(F.max("toxic").alias("toxic")))
     total = {bool(r[0]): r[1] for r in own.groupBy("toxic").count().collect()}
     n_toxic, n_clean = total.get(True, 0), total.get(False, 0)
     if not n_toxic or not n_clean:
@@ -210,7 +236,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     found = own.mapInArrow(count, "shape binary, toxic bigint, clean bigint").groupBy("shape").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     odds = (F.col("t") + 0.5) / (n_toxic + 1) / ((F.col("c") + 0.5) / (n_clean + 1))
     least = F.log("odds") - 1.64 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    best = found.withColumn("odds", odds).where((F.col("t") >= SUPPORT) & (least >= math.log(ODDS))).orderBy(F.desc("odds"), "shape").limit(ENTRIES).collect()
+    best = found.withColumn("odds", odds).where((F.col("t") >= SUPPORT) & (least >= math.log(ODDS))).orderBy(F.desc("odds"), "shape").collect()
     known = {bytes(r["shape"]): math.log(r["odds"]) for r in best}
     model = Model({k[1:]: x for k, x in known.items() if k[:1] == b"="}, {k: x for k, x in known.items() if k[:1] != b"="})
 

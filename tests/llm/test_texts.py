@@ -179,11 +179,39 @@ def test_toxicity_learns_without_held_out_rows(spark, tables):
     assert toxicity.learn(docs, flipped).words == model.words
 
 
-def test_machine_marks_clauses():
+def test_machines_match_clauses():
     model = toxicity.Model({b"zork": 2.0}, {})
-    weigh = lambda text: float(model.weigh(toxicity.pa.array([text]))[0])
+    weigh = lambda text: float(model.weigh(pa.array([text]))[0])
     plain, aimed, negated, reported = weigh("a zork"), weigh("you zork"), weigh("not a zork"), weigh("they said. she said zork")
-    assert aimed > plain > reported > negated > 0 and weigh("not. a zork") == plain
+    assert aimed == weigh("zork like you") == 2 * plain > reported > negated > 0 and weigh("not. a zork") == plain
+    assert weigh("kill the process") == weigh("i will kill time. you") == 0 < weigh("I will kill you") == weigh("you i will kill")
+    assert model.score(model.weigh(pa.array(["kill the process", "what a stupid idea"]))).max() < toxicity.THRESHOLD < model.score(model.weigh(pa.array(["I'll kill you, you idiot"]))).max()
+
+
+KINDS = {"zork": ("insult", 2.0), "idiot": ("insult", toxicity.SEED_WEIGHT), "kill": ("threat", toxicity.SEED_WEIGHT), "you": ("target", 0), "not": ("negation", 0), "said": ("report", 0)}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([*KINDS, "Zork", "word", "été", ".", "!", "\n", ",", "zorks"]), max_size=30))
+def test_clauses_against_brute_force(parts):
+    text, want = " ".join(parts), 0.0
+    for clause in re.split(r"[.!?;\n]", text):
+        kinds = [KINDS.get(w.lower(), ("other", 0)) for w in re.findall(r"[^\W_]+", clause)]
+        for i, (kind, weight) in enumerate(kinds):
+            around, before = {k for k, _ in kinds[:i] + kinds[i + 1 :]}, {k for k, _ in kinds[:i]}
+            aimed = "target" in around
+            if kind == "insult" or (kind == "threat" and aimed):
+                want += weight * (1 if aimed else 0.5) * (0.25 if "negation" in before else 1) * (0.5 if "report" in before else 1)
+    got = toxicity.Model({b"zork": 2.0}, {}).weigh(pa.array(["", text, None]))
+    assert got[0] == got[2] == 0 and abs(got[1] - want) < 1e-9
+
+
+def test_long_words_are_learned_whole(spark):
+    long = "q" * 60
+    docs = spark.createDataFrame([(i, f"{'a ' + long + 'x' if i % 2 else 'some ' + long + 'y'} text {i}") for i in range(300)] + [(1, "zz " * 3), (1, None)], DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(300)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert (long + "x").encode() in model.words and not any(w.endswith(b"y") for w in model.words)
 
 
 def test_toxicity_of_odd_texts(spark):
