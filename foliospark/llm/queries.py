@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprints, licenses, mixing, neardup, pii, secret_scans, sharding, suffix_dedup, toxicity
+from . import decontam, fingerprints, licenses, mixing, neardup, pii, secret_scans, sharding, sql, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -39,4 +39,4 @@ FROM d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontam.ORACLE, "op9_near_duplicates": NEAR_DUPLICATES}
+    return {"op2_suffix_dedup": sql.SUFFIX_DEDUP, "op3_decontamination": decontam.ORACLE, "op8_secrets": sql.secrets(), "op9_near_duplicates": NEAR_DUPLICATES, "op10_sharding": sql.sharding()}
