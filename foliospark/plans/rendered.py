@@ -54,7 +54,13 @@ def brand_documents(spark: SparkSession, sf_dir: str, text: Column, head: Column
     return joined(parts(spark, sf_dir), "p_brand", ("p_partkey",), text, head, gap)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: a small file is one partition, however long its rows take to parse."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def event_documents(spark: SparkSession, sf_dir: str, *lines: Column) -> DataFrame:
     """Frontmatter of the given lines, of which null leaves one out."""
-    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    e = spread(table(spark, sf_dir, "events")).withColumn("k", F.get_json_object("props", "$.k"))
     return e.select(F.col("event_id").alias("doc_id"), F.concat_ws("\n", F.lit("---"), *lines, F.lit("---"), F.lit("## Body"), F.lit("")).alias("source"))
