@@ -8,21 +8,24 @@ content-chosen anchors, counted in the cluster, with the same results.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Written, flat, hex_sha256, scan, table
 from .decontam import _mixed
 
-#: Bytes of a string that may not repeat; bytes of an anchor; strings that are told by one digest, each a multiple of the next.
-LENGTH, GRAM, WIDTHS = 400, 32, (192, 48, 16)
-#: Different surroundings of the same anchor that one task compares.
-GROUP = 4096
+#: Bytes of a string that may not repeat; bytes of an anchor; bytes of a block, a symbol of the suffix arrays of surroundings.
+LENGTH, GRAM, BLOCK = 400, 32, 32
+#: Different surroundings of the same anchor that one task compares at once, and of them rows that the driver sees to sort more.
+GROUP, SAMPLE = 4096, 20_000
 #: Bytes hashed at once in a task.
 PIECE = 2 << 20
 
@@ -183,54 +186,134 @@ def find_anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Of each wanted anchor (doc_id, th, pos, g, lone): its offset within the bytes that strings with it can hold, and those bytes."""
+    """Of each wanted anchor (doc_id, th, pos, g, lone): the bytes before it that strings with it can hold, last one first
+    (left), and those from it on (right)."""
     reach = length - GRAM
     own = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "g", "lone")).alias("anchors")).toDF("d", "t", "anchors")
     rows = docs.join(own, docs.doc_id.eqNullSafe(own.d) & (docs.th == own.t)).select("doc_id", "th", "text", "anchors").dropDuplicates(["doc_id", "th"])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "th", "pos", "g", "lone", "at", "context")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "th", "pos", "g", "lone", "left", "right")}
         for d, t, x, anchors in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("anchors").to_pylist(), strict=True):
             for a in anchors:
                 p = a["pos"]
-                for k, v in zip(out, (d, t, p, a["g"], a["lone"], min(p, reach), x[max(0, p - reach) : p + length]), strict=True):
+                for k, v in zip(out, (d, t, p, a["g"], a["lone"], x[max(0, p - reach) : p][::-1], x[p : p + length]), strict=True):
                     out[k].append(v)
-        kinds = {"doc_id": pa.int64(), "th": pa.int64(), "pos": pa.int32(), "g": pa.int64(), "lone": pa.bool_(), "at": pa.int32(), "context": pa.binary()}
+        kinds = {"doc_id": pa.int64(), "th": pa.int64(), "pos": pa.int32(), "g": pa.int64(), "lone": pa.bool_(), "left": pa.binary(), "right": pa.binary()}
         return pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
-    return scan(rows, run, "doc_id bigint, th bigint, pos int, g bigint, lone boolean, at int, context binary")
-
-
-_BYTES = np.random.default_rng(7).integers(1 << 62, (1 << 63) - 1, 256, np.uint64) | np.uint64(1)
-_STEP = np.uint64(0xD1342543DE82EF95)
+    return scan(rows, run, "doc_id bigint, th bigint, pos int, g bigint, lone boolean, left binary, right binary")
+
+
+def _packed(x: np.ndarray) -> list[np.ndarray]:
+    """The columns of rows of bytes as numbers of eight bytes that sort as the bytes do."""
+    wide = np.zeros((len(x), -(-x.shape[1] // 8) * 8), np.uint8)
+    wide[:, : x.shape[1]] = x
+    return list(np.ascontiguousarray(wide.view(">u8").T.astype(np.uint64)))
+
+
+def _sorted_prefixes(group: np.ndarray, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by group, then bytes (of which size count), and what each shares with the one before; -1 where a group begins."""
+    order = np.lexsort((size, *_packed(x)[::-1], group))
+    y = x[order]
+    differ = y[1:] != y[:-1]
+    shared = np.where(differ.any(1), differ.argmax(1), x.shape[1])
+    shared = np.minimum(shared, np.minimum(size[order][1:], size[order][:-1]))
+    shared[group[order][1:] != group[order][:-1]] = -1
+    return order, np.r_[-1, shared]
+
+
+def _classes(ids: np.ndarray, shared: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and classes of the places from which run symbols in a row occur at that place of other rows too: rows of
+    ids are texts of symbols (shared: which occur twice), and equal runs are neighbours in their suffix array."""
+    n = shared.shape[1]
+    ahead = np.zeros((len(ids), n + 1), np.int64)
+    for k in range(n - 1, -1, -1):
+        ahead[:, k] = np.where(shared[:, k], ahead[:, k + 1] + 1, 0)
+    starts = ahead[:, :n] >= run
+    used = np.zeros(shared.shape, bool)
+    for k in range(run):
+        used[:, k:] |= starts[:, : n - k]
+    text = np.zeros((len(ids), n + 1), np.int64)  # 0 parts the runs
+    text[:, :n][used] = ids[used] + 1
+    flat_text = text.ravel()
+    keep = np.r_[False, (flat_text[1:] != 0) | (flat_text[:-1] != 0)] | (flat_text != 0)
+    where = np.nonzero(keep)[0]
+    symbols = flat_text[where]
+    if not len(where):
+        return (np.empty(0, np.int64),) * 3
+    sa = np.array(suffix_array(symbols.tolist()), np.int64)
+    begins = np.zeros((len(ids), n + 1), bool)
+    begins[:, :n] = starts
+    sa = sa[begins.ravel()[where[sa]]]
+    same = np.ones(max(0, len(sa) - 1), bool)
+    for k in range(run):
+        same &= symbols[sa[1:] + k] == symbols[sa[:-1] + k]
+    group = np.cumsum(np.r_[0, ~same]) if len(sa) else np.empty(0, np.int64)
+    many = np.bincount(group, minlength=1)[group] > 1 if len(sa) else np.empty(0, bool)
+    at = where[sa[many]]
+    return at // (n + 1), at % (n + 1), group[many]
+
+
+def _repeated_starts(left: list[bytes], right: list[bytes], length: int) -> np.ndarray:
+    """Of each context and each place of a string in it, whether that string also stands at the same place of another one.
+
+    Contexts are cut into blocks. A string holds a run of whole blocks, the same for all strings that begin within one
+    block; the suffix array of the blocks tells which contexts share such a run. Of those, the bytes before and after the
+    run are compared. No digest decides.
+    """
+    reach, m = length - GRAM, len(left)
+    run = (length - BLOCK + 1) // BLOCK
+    rest, columns = length - run * BLOCK, -(-(reach + length) // BLOCK)
+    pad = 2 * BLOCK
+    x = np.zeros((m, pad + columns * BLOCK + pad), np.uint8)  # the place p of a string is column pad + p
+    for i, (a, b) in enumerate(zip(left, right, strict=True)):
+        c = a[::-1] + b
+        x[i, pad + reach - len(a) : pad + reach - len(a) + len(c)] = np.frombuffer(c, np.uint8)
+    begin = reach - np.array([len(a) for a in left], np.int64)
+    end = reach + np.array([len(b) for b in right], np.int64)
+    blocks = np.ascontiguousarray(x[:, pad : pad + columns * BLOCK]).reshape(-1, BLOCK)
+    k = np.tile(np.arange(columns), m)
+    parts = [k, *_packed(blocks)]
+    order = np.lexsort(parts)
+    new = np.zeros(len(order), bool)
+    for p in parts:
+        new[1:] |= p[order][1:] != p[order][:-1]
+    ids = np.empty(len(order), np.int64)
+    ids[order] = np.cumsum(new)
+    whole = ((np.arange(columns) * BLOCK >= begin[:, None]) & ((np.arange(columns) + 1) * BLOCK <= end[:, None])).ravel()
+    shared = whole & (np.bincount(ids[whole], minlength=len(ids) + 1)[ids] > 1)
+    out = np.zeros((m, reach + 1), bool)
+    row, first, group = _classes(ids.reshape(m, columns), shared.reshape(m, columns), run)
+    if not len(row):
+        return out
+    edge = first * BLOCK
+    before = x[row[:, None], (pad + edge - 1)[:, None] - np.arange(BLOCK - 1)]
+    after = x[row[:, None], (pad + edge + run * BLOCK)[:, None] + np.arange(rest)]
+    n_before = np.clip(edge - begin[row], 0, BLOCK - 1)
+    n_after = np.clip(end[row] - edge - run * BLOCK, 0, rest)
+    by_before, same_before = _sorted_prefixes(group, before, n_before)
+    by_after, same_after = _sorted_prefixes(group, after, n_after)
+    names = np.empty((2, len(row)), np.int64)
+    for n in range(BLOCK):
+        ok = np.nonzero((n_before >= n) & (n_after >= rest - n) & (edge - n <= reach))[0]
+        if len(ok) < 2:
+            continue
+        names[0][by_before] = np.cumsum(same_before < n)
+        names[1][by_after] = np.cumsum(same_after < rest - n)
+        key = names[0][ok] * (len(row) + 1) + names[1][ok]
+        o = np.argsort(key)
+        same = key[o][1:] == key[o][:-1]
+        twice = ok[o[np.r_[False, same] | np.r_[same, False]]]
+        out[row[twice], edge[twice] - n] = True
+    return out
 
 
-def _repeated_starts(at: np.ndarray, contexts: list[bytes], length: int) -> np.ndarray:
-    """Of each context and each place of a string in it, whether that string also stands at the same place of another one."""
-    reach, m = length - GRAM, len(contexts)
-    x = np.zeros((m, reach + length), np.uint8)
-    for i, c in enumerate(contexts):
-        x[i, reach - at[i] : reach - at[i] + len(c)] = np.frombuffer(c, np.uint8)
-    size = np.array([len(c) for c in contexts])
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.r_[np.uint64(1), np.full(reach + length - 1, _STEP)])
-        sums = np.zeros((m, reach + length + 1), np.uint64)
-        np.cumsum(_BYTES[x] * power, axis=1, out=sums[:, 1:])
-        h = sums[:, length:] - sums[:, : reach + 1]  # strings are only compared with others at their own place
-    del sums, x
-    place = np.arange(reach + 1)
-    whole = (place >= (reach - at)[:, None]) & (place + length <= (reach - at + size)[:, None])
-    h[~whole] = (np.arange(m, dtype=np.uint64)[:, None] + np.zeros_like(h))[~whole]
-    h = np.ascontiguousarray(h.T)
-    order = np.argsort(h, axis=1)
-    s = np.take_along_axis(h, order, 1)
-    same = s[:, 1:] == s[:, :-1]
-    twice = np.zeros(s.shape, bool)
-    twice[:, 1:] |= same
-    twice[:, :-1] |= same
-    out = np.empty_like(twice)
-    np.put_along_axis(out, order, twice, 1)
-    return out.T & whole
+def _stretches(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last place of each run of true places."""
+    edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1] - 1
 
 
 def _compared(contexts: DataFrame, length: int) -> DataFrame:
@@ -255,61 +338,172 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            at, pos = b.column("at").to_numpy(), b.column("pos").to_numpy().astype(np.int64)
-            found = _repeated_starts(at, b.column("context").to_pylist(), length) & b.column("lone").to_numpy(zero_copy_only=False)[:, None]
-            edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-            row, first = np.nonzero(edge == 1)
-            last = np.nonzero(edge == -1)[1] - 1
+            pos = b.column("pos").to_numpy().astype(np.int64)
+            found = _repeated_starts(b.column("left").to_pylist(), b.column("right").to_pylist(), length)
+            row, first, last = _stretches(found & b.column("lone").to_numpy(zero_copy_only=False)[:, None])
             take = pa.array(row)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").take(take), "th": b.column("th").take(take), "s": (pos[row] - reach + first).astype(np.int32), "e": pos[row] - reach + last + length})
 
     return contexts.repartition("g").sortWithinPartitions("g").mapInArrow(run, "doc_id bigint, th bigint, s int, e bigint")
 
 
-def _nodes(contexts: DataFrame, length: int, width: int) -> DataFrame:
-    """Of each context and each width offsets between its lo and hi: a digest of what all strings at those share, and of what
-    they span (null where the text's end cuts some off)."""
+def _prefix(x: bytes, y: bytes) -> int:
+    """How many bytes x and y share at their start."""
+    n = min(len(x), len(y))
+    differ = np.frombuffer(x, np.uint8)[:n] != np.frombuffer(y, np.uint8)[:n]
+    return int(differ.argmax()) if differ.any() else n
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        row, lo, hi, core, whole = [], [], [], [], []
-        for i, (a, x, f, t) in enumerate(zip(*(b.column(c).to_pylist() for c in ("at", "context", "lo", "hi")), strict=True)):
-            low, high = max(f, a + length - len(x)), min(t, a)
-            for j in range(low // width, high // width + 1):
-                first, last = width * j, min(width * j + width - 1, length - GRAM)
-                row.append(i)
-                lo.append(first)
-                hi.append(last)
-                core.append(_digest(x[a - first : a - last + length], first, 2 * width))
-                whole.append(_digest(x[a - last : a - first + length], first, 2 * width + 1) if low <= first and last <= high else None)
-        at = pa.array(row, pa.int32())
-        return pa.RecordBatch.from_pydict({k: b.column(k).take(at) for k in ("doc_id", "th", "pos")} | {"lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32()), "core": pa.array(core, pa.binary()), "whole": pa.array(whole, pa.binary())})
 
-    return scan(contexts, run, "doc_id bigint, th bigint, pos int, lo int, hi int, core binary, whole binary")
+def _bounds(contexts: DataFrame, n_rows: int, by: str, other: str) -> list[tuple[int, bytes, bytes]]:
+    """Where the order of contexts is parted into ranges of about GROUP, or into SAMPLE / 4 larger ones: from about SAMPLE
+    rows, by a hash, so that the driver holds no more however many there are."""
+    rows = contexts.select("g", by, other)
+    if n_rows > SAMPLE:
+        rows = contexts.where(F.pmod(F.xxhash64("doc_id", "th", "pos"), F.lit(n_rows // SAMPLE)) == 0).select("g", by, other)
+    found = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in rows.collect())
+    n = min(-(-n_rows // GROUP), SAMPLE // 4)
+    return sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
+
+
+def _in_order(contexts: DataFrame, n_rows: int, length: int, by: str, written: Written) -> DataFrame:
+    """contexts in the order of their anchors' bytes and of side by, in ranges, compared with those near them in that order.
+
+    Of each context: found (bits: the places whose strings repeat near it) and shared: of by, the most bytes that it may
+    have in common with contexts that it was not compared with. Contexts that share some bytes of a side stand together,
+    so those are the two on the far sides of its chunk's ends.
+    """
+    other = "left" if by == "right" else "right"
+    bounds = contexts.sparkSession.sparkContext.broadcast(_bounds(contexts, n_rows, by, other))
+
+    def part(b: pa.RecordBatch) -> pa.RecordBatch:
+        at = [bisect.bisect_right(bounds.value, x) for x in zip(*(b.column(c).to_pylist() for c in ("g", by, other)), strict=True)]
+        return b.append_column("part", pa.array(at, pa.int32()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, k = -1, 0
+        for whole in batches:
+            parts = whole.column("part").to_numpy()
+            edges = [0, *(np.nonzero(np.diff(parts))[0] + 1).tolist(), whole.num_rows]
+            for b in (whole.slice(i, min(GROUP, high - i)) for low, high in itertools.pairwise(edges) for i in range(low, high, GROUP)):
+                k, last = (k + 1 if b.column("part")[0].as_py() == last else 0), b.column("part")[0].as_py()
+                side = b.column(by).to_pylist()
+                found = np.packbits(_repeated_starts(b.column("left").to_pylist(), b.column("right").to_pylist(), length), axis=1)
+                g = b.column("g").to_pylist()
+                to_first = [_prefix(x, side[0]) if y == g[0] else -1 for x, y in zip(side, g, strict=True)]
+                to_last = [_prefix(x, side[-1]) if y == g[-1] else -1 for x, y in zip(side, g, strict=True)]
+                ends: list = [None] * b.num_rows
+                ends[0] = [side[0], None if b.num_rows > 1 else side[0]]
+                if b.num_rows > 1:
+                    ends[-1] = [None, side[-1]]
+                own = {c: b.column(c) for c in ("doc_id", "th", "pos", "g")}
+                yield pa.RecordBatch.from_pydict(own | {"chunk": pa.array([(last << 32) + k] * b.num_rows, pa.int64()), "found": pa.array([x.tobytes() for x in found], pa.binary()), "to_first": pa.array(to_first, pa.int32()), "to_last": pa.array(to_last, pa.int32()), "ends": pa.array(ends, pa.list_(pa.binary()))})
+
+    columns = "doc_id bigint, th bigint, pos int, g bigint, lone boolean, left binary, right binary"
+    dealt = scan(contexts, part, columns + ", part int").repartition("part").sortWithinPartitions("part", "g", by, other)
+    rows = written.put(dealt.mapInArrow(run, "doc_id bigint, th bigint, pos int, g bigint, chunk bigint, found binary, to_first int, to_last int, ends array<binary>"))
+    ends = rows.where("ends is not null").select("g", "chunk", F.posexplode("ends").alias("last", "mine")).where("mine is not null")
+    w = Window.partitionBy("g").orderBy("chunk", "last")
+    theirs = F.when(F.col("last") == 0, F.lag("mine").over(w)).otherwise(F.lead("mine").over(w))
+    ends = ends.withColumn("theirs", theirs).where("theirs is not null")
+
+    def meet(b: pa.RecordBatch) -> pa.RecordBatch:
+        same = [_prefix(x, y) for x, y in zip(b.column("mine").to_pylist(), b.column("theirs").to_pylist(), strict=True)]
+        return b.select(["chunk", "last"]).append_column("same", pa.array(same, pa.int32()))
+
+    over = scan(ends.select("chunk", "last", "mine", "theirs"), meet, "chunk bigint, last int, same int")
+    over = over.groupBy("chunk").agg(F.max(F.when(F.col("last") == 0, F.col("same"))).alias("same_first"), F.max(F.when(F.col("last") == 1, F.col("same"))).alias("same_last"))
+    shared = F.greatest(F.least("to_first", F.coalesce("same_first", F.lit(-1))), F.least("to_last", F.coalesce("same_last", F.lit(-1))))
+    return rows.join(over, "chunk", "left").select("doc_id", "th", "pos", "g", "found", shared.alias("shared"))
+
+
+def _bits(found: np.ndarray) -> pa.Array:
+    """Rows of truth values as lists of numbers of 63 bits each."""
+    wide = np.zeros((len(found), -(-found.shape[1] // 63), 63), np.int64)
+    wide.reshape(len(found), -1)[:, : found.shape[1]] = found
+    n = (wide << np.arange(63)).sum(2)
+    return pa.ListArray.from_arrays(np.arange(0, n.size + 1, n.shape[1], dtype=np.int32), n.ravel())
+
+
+def _unbits(column: pa.Array, size: int) -> np.ndarray:
+    n = np.array(column.to_pylist(), np.int64).reshape(len(column), -1)
+    return ((n[:, :, None] >> np.arange(63)) & 1).astype(bool).reshape(len(column), -1)[:, :size]
 
 
 def _strings(contexts: DataFrame, length: int) -> DataFrame:
-    """The strings of each context at offsets from lo to hi: where each starts, and its digest (with its anchor's offset)."""
+    """The strings of each context with as many bytes before the anchor as wanted (bits) says: where each starts, and its
+    digest (with that number)."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         row, start, key = [], [], []
-        for i, (a, x, p, f, t) in enumerate(zip(*(b.column(c).to_pylist() for c in ("at", "context", "pos", "lo", "hi")), strict=True)):
-            for d in range(max(f, a + length - len(x)), min(t, a) + 1):
-                row.append(i)
-                start.append(p - d)
-                key.append(_digest(x[a - d : a - d + length], d, 1))
+        wanted = _unbits(b.column("wanted"), length - GRAM + 1)
+        for i, (x, y, p) in enumerate(zip(*(b.column(c).to_pylist() for c in ("left", "right", "pos")), strict=True)):
+            a, x = len(x), x[::-1] + y
+            for d in np.nonzero(wanted[i])[0].tolist():
+                if max(0, a + length - len(x)) <= d <= a:
+                    row.append(i)
+                    start.append(p - d)
+                    key.append(_digest(x[a - d : a - d + length], d, 1))
         at = pa.array(row, pa.int32())
         return pa.RecordBatch.from_pydict({k: b.column(k).take(at) for k in ("doc_id", "th")} | {"start": pa.array(start, pa.int32()), "key": pa.array(key, pa.binary())})
 
     return scan(contexts, run, "doc_id bigint, th bigint, start int, key binary")
 
 
-def _twice(df: DataFrame, key: str) -> DataFrame:
-    return df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+def _by_order(docs: DataFrame, wanted: DataFrame, length: int, written: Written) -> DataFrame:
+    """As _compared for groups of any size: contexts are sorted in the cluster by what follows the anchor, and by what precedes
+    it, and compared with those near them in either order. A string that no context near repeats can only repeat if
+    contexts beyond both chunks share its bytes after and before the anchor; such strings alone are counted by digests."""
+    reach = length - GRAM
+    contexts = written.put(_contexts(docs, wanted, length))
+    n = contexts.count()
+    key = ["doc_id", "th", "pos"]
+    r = written.put(_in_order(contexts, n, length, "right", written))
+    l = written.put(_in_order(contexts, n, length, "left", written)).toDF(*(f"l_{c}" for c in r.columns))  # noqa: E741
+    lone = contexts.select(*(F.col(c).alias(f"c_{c}") for c in key), "lone", F.octet_length("left").alias("n_left"), F.octet_length("right").alias("n_right"))
+    match = lambda p: F.col("doc_id").eqNullSafe(F.col(f"{p}_doc_id")) & (F.col("th") == F.col(f"{p}_th")) & (F.col("pos") == F.col(f"{p}_pos"))
+    both = r.join(l, match("l")).join(lone, match("c")).select(*key, "g", "lone", "n_left", "n_right", "found", "l_found", "shared", "l_shared")
+
+    def settle(b: pa.RecordBatch) -> pa.RecordBatch:
+        bits = lambda c: np.unpackbits(np.array([np.frombuffer(x, np.uint8) for x in b.column(c).to_pylist()]), axis=1)[:, : reach + 1].astype(bool)
+        of = lambda c: b.column(c).to_numpy().astype(np.int64)
+        found, pos = bits("found") | bits("l_found"), of("pos")
+        most, least = np.minimum(of("l_shared"), of("n_left")), length - np.minimum(of("shared"), of("n_right"))
+        d = reach - np.arange(reach + 1)  # bytes before the anchor
+        lone = b.column("lone").to_numpy(zero_copy_only=False)
+        row, first, last = _stretches(found & lone[:, None])
+        spans: list[list] = [[] for _ in range(b.num_rows)]
+        for i, f, t in zip(row.tolist(), first.tolist(), last.tolist(), strict=True):
+            spans[i].append({"s": int(pos[i]) - reach + f, "e": int(pos[i]) - reach + t + length})
+        open_ = ~found & (d <= most[:, None]) & (d >= least[:, None]) & lone[:, None]
+        cols = {"spans": pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int64())]))), "least": pa.array(least, pa.int32()), "most": pa.array(most, pa.int32()), "open": pa.array(open_.any(1)), "wanted": _bits(open_[:, ::-1])}
+        return pa.RecordBatch.from_pydict({k: b.column(k) for k in (*key, "g")} | cols)
+
+    state = written.put(scan(both, settle, "doc_id bigint, th bigint, pos int, g bigint, spans array<struct<s:int,e:bigint>>, least int, most int, open boolean, wanted array<bigint>"))
+    out = state.select("doc_id", "th", F.explode("spans").alias("x")).select("doc_id", "th", "x.s", "x.e")
+    open_ = state.where("open")
+    if open_.isEmpty():
+        return out
+    asked = open_.groupBy("g").agg(F.array(*(F.bit_or(F.col("wanted")[i]) for i in range(-(-(reach + 1) // 63)))).alias("asked"))
+
+    def overlap(b: pa.RecordBatch) -> pa.RecordBatch:
+        d = np.arange(reach + 1)
+        may = (d >= b.column("least").to_numpy()[:, None]) & (d <= b.column("most").to_numpy()[:, None])
+        both = _unbits(b.column("asked"), reach + 1) & may
+        return b.select(key).append_column("wanted", _bits(both)).filter(pa.array(both.any(1)))
+
+    held = scan(state.join(asked, "g").select(*key, "least", "most", "asked"), overlap, "doc_id bigint, th bigint, pos int, wanted array<bigint>")
+
+    def bytes_of(x: DataFrame) -> DataFrame:
+        x = x.select(*(F.col(c).alias(f"c_{c}") for c in key), "wanted")
+        return contexts.join(x, match("c")).select("doc_id", "th", "pos", "left", "right", "wanted")
+
+    counted = written.put(_twice(_strings(bytes_of(held), length), "key"))
+    own = _strings(bytes_of(open_), length)
+    return out.unionByName(own.join(counted, "key").select("doc_id", "th", F.col("start").alias("s"), (F.col("start") + length).cast("bigint").alias("e")))
 
 
-def _one_of(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One row of each key."""
-    return df.groupBy(key).agg(F.min(F.struct(*columns)).alias("x")).select("x.*")
+def _twice(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, written: Written | None = None) -> DataFrame:
@@ -317,7 +511,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, written: Written | None = Non
 
     Anchors whose whole surroundings repeat are settled; of those, one represents all, so strings that a third of all
     documents share stay cheap. The others are compared with all different surroundings of the same bytes: up to GROUP of
-    them in a task, and for more, digest by digest (see _by_digests), which no group's size holds up.
+    them in a task, more of them in the order of a distributed sort (see _by_order), which no group's size holds up.
     """
     written = written or Written(docs.sparkSession)
     reach = length - GRAM
@@ -338,32 +532,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, written: Written | None = Non
     written.tidy()
     out = sure.unionByName(near)
     large = wanted.where(F.col("kinds") > GROUP)
-    return out if large.isEmpty() else out.unionByName(_by_digests(docs, large, length, written))
-
-
-def _by_digests(docs: DataFrame, wanted: DataFrame, length: int, written: Written) -> DataFrame:
-    """As _compared for groups of any size: digests are counted in the cluster, first of many strings at a time, then, where
-    those differ, of fewer, and last of single ones. Counts are summed before any shuffle."""
-    contexts = written.put(_contexts(docs, wanted, length))
-    now = contexts.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(length - GRAM))
-    out = None
-    for width in WIDTHS:
-        nodes = written.put(_nodes(now, length, width))
-        whole = written.put(_twice(nodes.where("whole is not null"), "whole"))
-        both = nodes.join(written.put(_twice(nodes, "core")), "core").join(whole.withColumn("all", F.lit(True)), "whole", "left")
-        both = written.put(both.withColumn("all", F.coalesce("all", F.lit(False))))
-        written.drop(nodes)
-        written.tidy()
-        parts = both.where("all").select("doc_id", "th", (F.col("pos") - F.col("hi")).alias("s"), (F.col("pos") - F.col("lo") + length).cast("bigint").alias("e"))
-        out = parts if out is None else out.unionByName(parts)
-        mixed = both.where("not all")
-        settled = _one_of(both.where("all").join(mixed.select("core").distinct(), "core", "left_semi"), "whole", ["doc_id", "th", "pos", "lo", "hi"])
-        mixed = mixed.select("doc_id", "th", "pos", "lo", "hi").unionByName(settled).distinct().toDF("d", "t", "p", "lo", "hi")
-        now = contexts.join(mixed, contexts.doc_id.eqNullSafe(mixed.d) & (contexts.th == mixed.t) & (contexts.pos == mixed.p)).select("doc_id", "th", "pos", "lo", "hi", "at", "context")
-    strings = written.put(_strings(now, length))
-    written.tidy()
-    single = strings.join(written.put(_twice(strings, "key")), "key").select("doc_id", "th", F.col("start").alias("s"), (F.col("start") + length).cast("bigint").alias("e"))
-    return out.unionByName(single)
+    return out if large.isEmpty() else out.unionByName(_by_order(docs, large, length, written))
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:

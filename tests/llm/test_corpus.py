@@ -49,20 +49,74 @@ def test_repeats_by_suffix_array(texts, length):
         assert (got == want).all()
 
 
-@pytest.mark.parametrize("group", [4096, 2])
+def brute_rows(rows, length=400):
+    data = [(t or "").encode() for _, t in rows]
+    want = Counter()
+    for (d, _), t, m in zip(rows, data, brute_repeats(data, length), strict=True):
+        want[d, len(t), int(m.sum()), int((np.diff(np.r_[0, m.astype(int)]) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~m])).hexdigest()] += 1
+    return want
+
+
+def removed_rows(spark, rows):
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(spark.createDataFrame(rows, DOCS)).collect())
+
+
+@pytest.mark.parametrize("group", [4096, 3])
 def test_repeats_by_anchors(spark, monkeypatch, group):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
     g = np.random.default_rng(3)
-    passage = bytes(g.integers(97, 123, 900, np.uint8))
-    texts = [bytes(g.integers(97, 123, 300, np.uint8)) + passage[a : a + 500] + bytes(g.integers(97, 123, 100, np.uint8)) for a in (0, 40, 90, 90, 300)]
-    texts += [passage, passage, b"", b"short", b"z" * 1500, bytes(g.integers(97, 123, 350, np.uint8)) * 3]
+    some = lambda n: bytes(g.integers(97, 123, n, np.uint8))
+    passage = some(900)
+    texts = [some(300) + passage[a : a + 500] + some(100) for a in (0, 40, 90, 90, 300)]
+    texts += [passage, passage, b"", b"short", b"z" * 1500, some(350) * 3]
     rows = [(i, t.decode()) for i, t in enumerate(texts)] + [(99, None), (None, passage.decode()), (0, texts[0].decode())]
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(spark.createDataFrame(rows, DOCS)).collect())
-    data = [(t or "").encode() for _, t in rows]
-    want = Counter()
-    for (d, _), t, m in zip(rows, data, brute_repeats(data, 400), strict=True):
-        want[d, len(t), int(m.sum()), int((np.diff(np.r_[0, m.astype(int)]) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~m])).hexdigest()] += 1
-    assert got == want
+    assert removed_rows(spark, rows) == brute_rows(rows)
+
+
+@pytest.mark.parametrize("group", [4096, 7])
+def test_repeats_of_edited_copies_and_of_crossed_parts(spark, monkeypatch, group):
+    """Copies with changes at any place, and texts of one beginning and one end out of a few, so that neighbours in the order
+    of either side differ on the other."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    g = np.random.default_rng(8)
+    some = lambda n: bytes(g.integers(97, 123, n, np.uint8))
+    base, heads, middle, tails = some(1000), [some(210) for _ in range(4)], some(60), [some(210) for _ in range(4)]
+    rows = []
+    for i in range(40):
+        t = bytearray(base)
+        for at in g.integers(0, 1000, int(g.integers(0, 5))):
+            t[at] = 48 + int(g.integers(10))
+        rows.append((i, t.decode()))
+    for i in range(40):
+        rows.append((100 + i, (some(int(g.integers(1, 9))) + heads[g.integers(4)] + middle + tails[g.integers(4)] + some(int(g.integers(1, 9)))).decode()))
+    assert removed_rows(spark, rows) == brute_rows(rows)
+
+
+def test_repeats_in_texts_longer_than_a_piece(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
+    g = np.random.default_rng(4)
+    t = bytes(g.integers(97, 123, 5000, np.uint8))
+    rows = [(1, t.decode()), (2, t[700:1500].decode() + "!" + t[2900:3350].decode()), (3, t[:399].decode())]
+    assert removed_rows(spark, rows) == brute_rows(rows)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40), st.integers(0, 3), st.integers(0, 999)), min_size=1, max_size=12))
+def test_surroundings_against_brute_force(cuts):
+    base = bytes(np.random.default_rng(6).integers(97, 99, 800, np.uint8))
+    length, reach = 400, 400 - suffix_dedup.GRAM
+    left, right = [], []
+    for cut_left, cut_right, changes, seed in cuts:
+        x = bytearray(base)
+        for at in np.random.default_rng(seed).integers(0, 800, changes):
+            x[at] = 122
+        x[368:400] = base[368:400]
+        left.append(bytes(x[cut_left * 9 : 368])[::-1])
+        right.append(bytes(x[368 : 768 - cut_right * 9]))
+    got = suffix_dedup._repeated_starts(left, right, length)
+    strings = [{p: (a[::-1] + b)[p - reach + len(a) : p - reach + len(a) + length] for p in range(reach - len(a), reach + 1) if p + length <= reach + len(b)} for a, b in zip(left, right, strict=True)]
+    seen = Counter((p, x) for own in strings for p, x in own.items())
+    assert [{p for p, x in own.items() if seen[p, x] > 1} for own in strings] == [set(np.nonzero(row)[0]) for row in got]
 
 
 def test_repeats_of_an_empty_table(spark):
@@ -95,22 +149,67 @@ def brute_hits(docs, items, n=10):
     return out
 
 
-def test_decontamination_against_brute_force(spark):
+@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 40])
+def test_decontamination_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
     g = np.random.default_rng(5)
     text = lambda n: " ".join(g.choice(["a", "b", "C", "dé", "e"], n))
     items = [(i, text(int(n))) for i, n in enumerate([3, 5, 12, 15, 30, 4])] + [(7, None), (8, "!!"), (2, "a b"), (9, "A B")]
-    docs = [(i, text(int(n))) for i, n in enumerate(g.integers(0, 60, 25))] + [(30, items[4][1] + " x " + items[4][1]), (31, None), (32, ""), (33, "x" * 100_000)]
-    got = decontam.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string")).collect()
-    assert sorted(map(tuple, got)) == sorted(brute_hits(docs, items))
+    docs = [(i, text(int(n))) for i, n in enumerate(g.integers(0, 60, 25))] + [(30, items[4][1] + " x " + items[4][1]), (31, None), (32, ""), (33, "x" * 100_000), (None, items[3][1]), (30, "a b")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontam.contamination(spark.createDataFrame(docs, DOCS), bench).drop(*decontam._LONGEST).collect()
+    want = brute_hits(docs, items)
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    clean = decontam.clean(spark.createDataFrame([(*d, "q") for d in docs], DOCS + ", n_hit string"), bench).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in clean))) == sorted(repr(d) for d, w in zip(docs, want, strict=True) if not w[-1])
+
+
+def brute_longest(docs, items, shortest):
+    out = set()
+    for i, t in items:
+        w = words(t)
+        for s in range(len(w)):
+            found = []
+            for d, x in docs:
+                v = words(x)
+                for p in range(len(v)):
+                    n = 0
+                    while s + n < len(w) and p + n < len(v) and w[s + n] == v[p + n]:
+                        n += 1
+                    found.append((n, d, p))
+            most = max(found, default=(0,))[0]
+            out |= {(str(i), s, most, d, p) for n, d, p in found if n == most >= shortest}
+    return out
 
 
-def test_decontamination_keeps_columns_and_finds_longest_matches(spark):
+@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 300])
+def test_longest_matches_and_their_places(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    g = np.random.default_rng(9)
+    text = lambda n: " ".join(g.choice(["a", "b", "c"], n))
+    items = [(i, text(70)) for i in range(4)]
+    docs = [(i, text(90) + (" " + items[i % 4][1] if i % 3 == 0 else "")) for i in range(9)] + [(20, items[0][1]), (21, None), (22, "zz")]
+    got = decontam.longest_matches(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, "item_id bigint, text string"), 6).collect()
+    assert len(got) == len(set(got)) and set(map(tuple, got)) == brute_longest(docs, items, 6)
+    rows = decontam.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert [(r.longest, r.longest_item, r.longest_item_word, r.longest_word) for r in rows if r.doc_id == 20] == [(70, "0", 0, 0)]
+
+
+def test_decontamination_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, "one two three four five six seven", 9), (2, "clean", 8)], "doc_id bigint, text string, n_hit int")
     bench = spark.createDataFrame([(5, "zero two three four five six nine")], "item_id bigint, text string")
     assert decontam.clean(docs, bench).columns == docs.columns and decontam.clean(docs, bench).count() == 2
-    tests = decontam.Tests(["5"], [b"zero two three four five six nine"], 10)
-    assert ("5", 1, 5, 0, 1) in decontam.longest_matches(pa.array(["one two three four five six seven", "clean"]), tests)
-    assert decontam.clean(docs, bench.limit(0)).count() == 2
+    assert decontam.clean(docs, bench.limit(0)).count() == 2 and decontam.longest_matches(docs, bench.limit(0)).count() == 0
+    assert [r.n_words for r in decontam.contamination(docs, bench.limit(0)).collect()] == [7, 1] and decontam.contamination(docs.limit(0), bench).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 3), max_size=12), max_size=6))
+def test_suffix_array_of_words(stretches):
+    symbols = np.array([x for s in stretches for x in [*s, 0]] + [0], np.int64)
+    tail = lambda i: next(tuple(symbols[i:j]) for j in range(i, len(symbols)) if symbols[j] == 0)
+    sa = decontam.suffix_array(symbols).tolist()
+    assert sorted(sa) == np.nonzero(symbols)[0].tolist() and [tail(i) for i in sa] == sorted(map(tail, sa))
 
 
 # Near duplicates.
