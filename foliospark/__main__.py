@@ -113,14 +113,13 @@ def read(args) -> int:
     try:
         steps = parse_path(path)
     except PathSyntax as x:
-        error = {"kind": "syntax", "path": path, "message": str(x), "offset": x.offset, "suggestions": []}
-        out.write(json.dumps({"version": 1, "error": error}, ensure_ascii=False, separators=(",", ":")) + "\n" if args.format == "json" else f"foliospark: invalid document path '{path}': {x} at byte {x.offset}\n")
+        error = {"kind": "syntax", "path": path, "message": str(x), "offset": x.offset, "suggestions": p.of_heading(path)}
+        out.write(render.path_failure(error, args.format, args.file))
         return 1
     try:
         node = p.resolve(steps)
     except PathFailure as x:
-        row = {"outcome": x.kind, "step": str(x.step).removeprefix("/") if not str(x.step).startswith("..") else str(x.step), "resolved": p.of[id(x.resolved)], "candidates": [p.of[id(c)] for c in x.candidates], "suggestions": p.suggestions(steps, x)}
-        out.write(render.path_failure(row, path, args.format, args.file))
+        out.write(render.path_failure(p.failure(steps, x, args.file), args.format, args.file))
         return 1
     if args.tree:
         entries = [{**p.entry(n), "label": p.label(n, args.file)} for n in p.tree(node, args.depth, args.blocks)]

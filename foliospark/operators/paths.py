@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass
 
-from ..functions.text import SLUG, preview
+from ..functions.text import SLUG, heading_slug, preview
 from .document import Document, Node
 
 BLOCKS = ("p", "list", "code", "quote", "html", "break")
@@ -228,31 +229,60 @@ class Paths:
 
     # Help for paths that lead nowhere.
 
+    def failure(self, steps: list[Step], x: PathFailure, file: str = "") -> dict:
+        """What is told of a path that led nowhere, members in order: nodes are the listing of what was reached, candidates
+        the sections that the step fits, each with its label."""
+        last = steps[x.done]
+        terminal = last.kind not in ("child", "at", "deep")
+        listed = x.candidates if x.kind == "ambiguous" else self.tree(x.resolved, 1, terminal)
+        out = {"kind": x.kind, "path": "$" + "".join(map(_explicit, steps)), "step": _explicit(last).lstrip("/") if last.kind == "deep" or terminal else _explicit(last)[1:], "resolved": self.of[id(x.resolved)]}
+        return out | {"candidates" if x.kind == "ambiguous" else "nodes": [{**self.entry(n), "label": self.label(n, file)} for n in listed], "suggestions": self.suggestions(steps, x)}
+
+    def of_heading(self, path: str, most: int = 5) -> list[str]:
+        """Sections whose slug is that of a path written as a heading: $.Set Up."""
+        slug = heading_slug(re.sub(r"\A\$\.\.?", "", path)) if re.match(r"\$\.", path) else ""
+        return [self.of[id(s)] for s in self.deep(self.doc.root) if slug and s.slug == slug][:most]
+
     def suggestions(self, steps: list[Step], failure: PathFailure | None, most: int = 5) -> list[str]:
-        """Canonical paths close to what was asked for: the same slug elsewhere first, then slugs with few typing errors."""
+        """Canonical paths close to what was asked for, at most that many, in document order: sections of the same slug deeper
+        down; else those that are the fewest typing errors away, numbers before a slug set aside. Typing errors below the
+        children only count where no child is near. As many of the further steps are kept as lead somewhere."""
         at = failure.done if failure else 0
-        named = next((s for s in steps[at:] if s.slug), None)
-        if named is None or failure is not None and failure.kind == "ambiguous":
+        if at >= len(steps) or failure is not None and failure.kind == "ambiguous":
             return []
-        base = failure.resolved if failure else self.doc.root
-        rest = steps[steps.index(named, at) + 1 :]
-        scored = []
-        for order, s in enumerate(self.deep(base)):
-            d = 0 if s.slug == named.slug else edits(re.sub(r"^([0-9]+-)+", "", s.slug), named.slug, limit(named.slug))
-            if s.slug != named.slug and d == 0:
-                d = 1
-            if d is not None:
-                scored.append((d, order, s))
-        out = []
-        for _, _, s in sorted(scored, key=lambda x: x[:2]):
-            target = s
+        step, base = steps[at], failure.resolved if failure else self.doc.root
+        if not step.slug or base.kind not in ("root", "section"):
+            return []
+        below, children = self.deep(base), {id(s) for s in self.sections(base)} if step.kind == "child" else set()
+        found = [s for s in below if s.slug == step.slug and (failure is None or id(s) not in children)]
+        if not found:
+            typos = {id(s): d for s in below if s.slug != step.slug and (d := edits(s.slug, step.slug, limit(step.slug))) is not None}
+            if children & typos.keys():
+                typos = {k: d for k, d in typos.items() if k in children}
+            for s in below:
+                if (tail := _NUMBERS.sub("", s.slug)) != s.slug and (d := edits(tail, step.slug, limit(step.slug))) is not None:
+                    typos[id(s)] = min(d, typos.get(id(s), d))
+            least = min(typos.values(), default=None)
+            found = [s for s in below if typos.get(id(s)) == least is not None]
+        out = (self.of[id(self._furthest(s, steps[at + 1 :]))] for s in found)
+        return list(itertools.islice(dict.fromkeys(out), most))
+
+    def _furthest(self, section: Node, rest: list[Step]) -> Node:
+        """Where the most steps of rest lead from section."""
+        for n in range(len(rest), 0, -1):
             try:
-                target = self.resolve(parse_path(self.of[id(s)]) + rest)
+                return self.resolve(parse_path(self.of[id(section)]) + rest[:n])
             except PathFailure:
-                pass
-            if self.of[id(target)] not in out:
-                out.append(self.of[id(target)])
-        return out[:most]
+                continue
+        return section
+
+
+def _explicit(step: Step) -> str:
+    """A step as reports spell it: places of blocks and items are told."""
+    return str(step) if step.kind in ("child", "at", "deep") else f"/{step.kind}[{step.index or 0}]"
+
+
+_NUMBERS = re.compile(r"^(?:[0-9]+-)+")
 
 
 def limit(slug: str) -> int:

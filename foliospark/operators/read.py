@@ -22,7 +22,8 @@ def content(docs: DataFrame, path: str, depth: int | None = None, key: str = "do
         try:
             node = p.resolve(steps)
         except PathFailure as x:
-            yield {"outcome": x.kind, "step": x.step.removeprefix(".") if not x.step.startswith("..") else x.step, "resolved": p.of[id(x.resolved)], "candidates": [p.of[id(c)] for c in x.candidates], "suggestions": p.suggestions(steps, x)}
+            told = p.failure(steps, x)
+            yield {"outcome": x.kind, "step": told["step"], "resolved": told["resolved"], "candidates": [p.of[id(c)] for c in x.candidates], "suggestions": told["suggestions"]}
             return
         found = p.content(node, depth)
         yield {"mdpath": p.of[id(node)], "bytes": len(found.encode()), "content": found, "outcome": "success"}

@@ -80,11 +80,14 @@ def search_text(found: dict, form: str = "human") -> tuple[str, str]:
     return "".join(out) + more, ""
 
 
+#: Members of a listed node, in order.
+MEMBERS = ("mdpath", "kind", "level", "text", "items", "preview", "bytes")
+
+
 def tree_text(entries: list[dict], form: str = "human", file: str = "", path: str = "$") -> str:
     """A listing; entries have mdpath, bytes, label and the members of their kind."""
     if form == "json":
-        members = ("mdpath", "kind", "level", "text", "items", "preview", "bytes")
-        return _dump({"version": 1, "file": file, "mdpath": path, "nodes": [{k: e[k] for k in members if k in e} for e in entries]})
+        return _dump({"version": 1, "file": file, "mdpath": path, "nodes": [{k: e[k] for k in MEMBERS if k in e} for e in entries]})
     if form == "compact":
         return "".join("\t".join((e["mdpath"], size_text(e["bytes"]), escape_compact(e["label"]))) + "\n" for e in entries)
     width = max((len(e["mdpath"]) for e in entries), default=0)
@@ -97,13 +100,17 @@ def content_text(row: dict, form: str = "human", file: str = "") -> str:
     return row["content"]
 
 
-def path_failure(row: dict, path: str, form: str = "human", file: str = "") -> str:
-    """How a path led nowhere, with what might have been meant."""
+def path_failure(error: dict, form: str = "human", file: str = "") -> str:
+    """How a path led nowhere (see Paths.failure), with a listing and what might have been meant."""
     if form == "json":
-        error = {"kind": row["outcome"], "path": path, "step": row["step"], "resolved": row["resolved"], "suggestions": row["suggestions"] or []}
-        return _dump({"version": 1, "error": error})
-    if row["outcome"] == "ambiguous":
-        head = f"ambiguous document path {path} in {file}: {len(row['candidates'])} sections match '{row['step']}'\n"
+        bare = {k: [{m: e[m] for m in MEMBERS if m in e} for e in v] if k in ("nodes", "candidates") else v for k, v in error.items()}
+        return _dump({"version": 1, "error": bare})
+    spell = escape_compact if form == "compact" else escape_human
+    path, listed = spell(error["path"]), error.get("candidates") or error.get("nodes") or []
+    if error["kind"] == "syntax":
+        head = f"invalid document path '{path}': {spell(error['message'])} at byte {error['offset']}"
+    elif error["kind"] == "ambiguous":
+        head = f"ambiguous document path {path} in {spell(file)}: {len(listed)} sections match '{spell(error['step'])}'"
     else:
-        head = f"cannot resolve {path} in {file}: {row['step']} not found under {row['resolved']}\n"
-    return head + "".join(f"{c}\n" for c in row["candidates"] or []) + "".join(f"did you mean {s}?\n" for s in row["suggestions"] or [])
+        head = f"cannot resolve {path} in {spell(file)}: {spell(error['step'])} not found under {error['resolved']}"
+    return f"foliospark: {head}\n" + tree_text(listed, form) + "".join(f"did you mean {s}?\n" for s in error["suggestions"])

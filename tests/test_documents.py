@@ -166,6 +166,23 @@ def test_paths_and_sizes():
             parse_path(bad)
 
 
+SHELF = "# Shelf\n\n## 3. Tools\n\n### 3.1 Hand Plane\n\n#### Blade\n\n### Saw\n\n## Plane\n\n## Planes Two\n\n## 9. Glue\n"
+
+
+@pytest.mark.parametrize(
+    ("path", "found"),
+    [
+        ("$.saw", ["$.3-tools.saw"]), ("$.hand-plane.blade", ["$.3-tools.3-1-hand-plane.blade"]), ("$.hand-plane.none", ["$.3-tools.3-1-hand-plane"]), ("$.glue", ["$.9-glue"]), ("$.plan", ["$.plane"]),
+        ("$..blad", ["$.3-tools.3-1-hand-plane.blade"]), ("$.sav", ["$.3-tools.saw"]), ("$.nothing-like-it", []), ("$.[7]", []), ("$.plane/list[2]", []), ("$.3-tools.hand-plame", ["$.3-tools.3-1-hand-plane"]),
+    ],
+)
+def test_suggestions(path, found):
+    p, steps = Paths(parse(SHELF)), parse_path(path)
+    with pytest.raises(PathFailure) as x:
+        p.resolve(steps)
+    assert p.suggestions(steps, x.value) == found
+
+
 @pytest.mark.parametrize(("text", "kind"), [("yes", "string"), ("010", "integer"), ("0x1F", "integer"), ("-0o7", "integer"), ("12:30", "string"), ("1_000", "string"), (".5", "float"), ("1e3", "float"), ("~", "null"), ("True", "boolean"), ("2024-01-01", "string"), (".inf", "special")])
 def test_core_scalars(text, kind):
     assert yaml12.scalar_kind(text) == kind
