@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from ..functions.stem import analyze, stem_column, tokens_column
 from .parse import units as units_of
 
-FORMAT = 1
+FORMAT = 2
 #: Hits by default and at most; bytes of a file at most; characters of a snippet; what the context adds to a score.
 LIMIT, MOST, FILE, SNIPPET, BOOST = 10, 1000, 4 << 20, 160, 2.0
 K1, B = 1.2, 0.75
-#: Segments that a refresh leaves; more are merged into one. Seconds after which a lock counts as left behind.
-SEGMENTS, STALE = 8, 6 * 3600
+#: Segments that a refresh leaves; more are merged into one. Seconds after which a lock counts as left behind, and for which
+#: merged segments stay for readers of an older manifest. Skipped files that are named.
+SEGMENTS, STALE, NAMED = 8, 6 * 3600, 20
 
 
 def postings(units: DataFrame, stemmed: bool = True) -> DataFrame:
@@ -32,13 +33,18 @@ def postings(units: DataFrame, stemmed: bool = True) -> DataFrame:
 
 
 def statistics(units: DataFrame, found: DataFrame, terms: list[str]) -> dict:
-    """Units, their average length, and units of each term: a few numbers, summed where the data are."""
-    size = F.size(tokens_column(F.coalesce("body", F.lit(""))))
+    """Units, their average length, and units of each term: a few numbers, summed where the data are. Units of an index have
+    their length in n_tokens; of others it is counted."""
+    size = F.col("n_tokens") if "n_tokens" in units.columns else _size()
     n, total = units.agg(F.count("*"), F.sum(size)).first()
     df = {r[0]: r[1] for r in found.where(F.col("term").isin(terms) & (F.col("field") == "body")).groupBy("term").agg(F.count("*")).collect()}
     return {"n": n, "avgdl": (total or 0) / n if n else 0.0, "df": df}
 
 
+def _size():
+    return F.size(tokens_column(F.coalesce("body", F.lit("")))).cast("long")
+
+
 def ranked(found: DataFrame, stats: dict, terms: list[str]) -> DataFrame:
     """(path, mdpath, score) of each unit whose body has all terms, without lists one of whose items has them all.
 
@@ -117,7 +123,9 @@ class Busy(RuntimeError):
 
 class Index:
     """An index in a folder that driver and executors share: segments of units and postings, and a manifest that names the
-    live ones. A refresh writes a segment of what changed, then a new manifest; readers keep the old one until then."""
+    live ones. A refresh reads the manifest behind its lock, writes a segment of what changed, then a new manifest. Readers
+    keep the one they opened: segments that were merged stay for STALE seconds. Postings are sorted by term, so a query
+    reads the row groups of its terms."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder, self.notes = spark, folder.rstrip("/"), []
@@ -126,21 +134,26 @@ class Index:
         self.fs = jvm.org.apache.hadoop.fs.Path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
         self.manifest = self._open()
 
-    def _open(self) -> dict:
-        empty = {"format": FORMAT, "segments": [], "files": None}
+    def _read(self) -> dict | None:
+        """The manifest as it is now; None if there is none."""
         if not self.fs.exists(self._path("manifest.json")):
+            return None
+        found = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.folder}/manifest.json").collect()))
+        if found.get("format") != FORMAT:
+            raise ValueError("format changed")
+        return found
+
+    def _open(self) -> dict:
+        empty = {"format": FORMAT, "segments": [], "files": None, "retired": []}
+        try:
+            if found := self._read():
+                return found
             self.fs.mkdirs(self._path(""))
             self.notes.append(f"created search index at {self.folder}")
-            return empty
-        try:
-            found = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.folder}/manifest.json").collect()))
-            if found.get("format") != FORMAT:
-                raise ValueError("format changed")
-            return found
         except Exception as x:
             why = str(x) if str(x) == "format changed" else "index could not be opened"
             self.notes.append(f"rebuilt search index at {self.folder} ({why})")
-            return empty
+        return empty
 
     def _write(self, manifest: dict) -> None:
         name = f".manifest-{uuid.uuid4().hex}"
@@ -163,21 +176,26 @@ class Index:
 
     def _live(self, kind: str) -> DataFrame:
         if not self.manifest["segments"]:
-            rows = self.spark.createDataFrame([], "path string, mdpath string, parent_list string, kind string, bytes long, section_bytes long, context string, body string, snippet string, segment string")
+            rows = self.spark.createDataFrame([], "path string, mdpath string, parent_list string, kind string, bytes long, section_bytes long, context string, body string, snippet string, n_tokens long, segment string")
             return postings(rows).limit(0) if kind == "postings" else rows
         rows = self.spark.read.option("mergeSchema", "false").parquet(*(f"{self.folder}/{s}/{kind}" for s in self.manifest["segments"]))
         return rows.join(self.files().select("path", "segment"), ["path", "segment"], "left_semi")
 
     def refresh(self, listed: DataFrame, complete: bool = True, prefix: str = "") -> None:
-        """Brings the index up to the listed files (path, mtime, size, source). Files that can't be read lose their units.
-        Raises Busy while another process refreshes."""
+        """Brings the index up to the listed files (path, mtime, size, source). Files that can't be read lose their units; notes
+        tell of them. Raises Busy while another process refreshes."""
         lock = self._path(".lock")
         if self.fs.exists(lock) and time.time() * 1000 - self.fs.getFileStatus(lock).getModificationTime() > STALE * 1000:
             self.fs.delete(lock, False)  # left by a process that died
         if not self.fs.createNewFile(lock):
             raise Busy("search index is being refreshed by another process; searching the existing index")
         try:
+            try:
+                self.manifest = self._read() or self.manifest  # others may have refreshed since this was opened
+            except ValueError:
+                pass  # a broken or older one, which __init__ has told of, is replaced
             self._refresh(listed, complete, prefix)
+            self._sweep()
         finally:
             self.fs.delete(lock, False)
 
@@ -191,25 +209,44 @@ class Index:
             return
         fresh = plan.where("action = 'index'").select("path")
         source = F.col("source").cast("binary")
-        docs = listed.join(fresh, "path", "left_semi").where((F.col("size") <= FILE) & F.is_valid_utf8(source))
-        units_of(docs, "path", "source").withColumn("segment", F.lit(segment)).write.parquet(f"{self.folder}/{segment}/units")
+        large, broken = F.col("size") > FILE, ~F.is_valid_utf8(source)
+        some = listed.join(fresh, "path", "left_semi")
+        self._note(some.where(large | broken).select("path", F.when(large, f"over {FILE} bytes").otherwise("not valid UTF-8").alias("why")))
+        units_of(some.where(~large & ~broken), "path", "source").withColumn("n_tokens", _size()).withColumn("segment", F.lit(segment)).write.parquet(f"{self.folder}/{segment}/units")
         own = self.spark.read.parquet(f"{self.folder}/{segment}/units")
-        postings(own).withColumn("segment", F.lit(segment)).write.parquet(f"{self.folder}/{segment}/postings")
+        self._by_term(postings(own).withColumn("segment", F.lit(segment))).write.parquet(f"{self.folder}/{segment}/postings")
         kept = self.files().join(plan.select("path"), "path", "left_anti")
         kept.unionByName(listed.join(fresh, "path", "left_semi").select("path", "mtime", "size", F.lit(segment).alias("segment"))).write.parquet(f"{self.folder}/{segment}/files")
-        self._write({"format": FORMAT, "segments": [*self.manifest["segments"], segment], "files": f"{segment}/files"})
+        self._write({**self.manifest, "segments": [*self.manifest["segments"], segment], "files": f"{segment}/files"})
         if len(self.manifest["segments"]) > SEGMENTS:
             self._merge()
 
+    @staticmethod
+    def _by_term(found: DataFrame) -> DataFrame:
+        return found.repartitionByRange("term", "path").sortWithinPartitions("term", "path")
+
+    def _note(self, skipped: DataFrame) -> None:
+        """Names files that were passed over, the first NAMED of them, and how many more there are."""
+        rows = skipped.orderBy("path").limit(NAMED).collect()
+        self.notes += [f"skipped {r['path']}: {r['why']}" for r in rows]
+        if len(rows) == NAMED and (more := skipped.count() - NAMED):
+            self.notes.append(f"skipped {more} more files")
+
     def _merge(self) -> None:
-        """One segment of all live rows; the old ones are deleted once the manifest no longer names them."""
-        old, segment = self.manifest["segments"], f"segment-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-        for kind in ("units", "postings"):
-            self._live(kind).withColumn("segment", F.lit(segment)).write.parquet(f"{self.folder}/{segment}/{kind}")
+        """One segment of all live rows; the old ones are retired."""
+        old, segment, now = self.manifest["segments"], f"segment-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}", time.time()
+        self._live("units").withColumn("segment", F.lit(segment)).write.parquet(f"{self.folder}/{segment}/units")
+        self._by_term(self._live("postings").withColumn("segment", F.lit(segment))).write.parquet(f"{self.folder}/{segment}/postings")
         self.files().withColumn("segment", F.lit(segment)).write.parquet(f"{self.folder}/{segment}/files")
-        self._write({"format": FORMAT, "segments": [segment], "files": f"{segment}/files"})
-        for s in old:
-            self.fs.delete(self._path(s), True)
+        self._write({**self.manifest, "segments": [segment], "files": f"{segment}/files", "retired": [*self.manifest["retired"], *([s, now] for s in old)]})
+
+    def _sweep(self) -> None:
+        """Deletes segments that were retired long enough ago, once the manifest no longer names them."""
+        gone = [s for s, t in self.manifest["retired"] if time.time() - t > STALE]
+        if gone:
+            self._write({**self.manifest, "retired": [x for x in self.manifest["retired"] if x[0] not in gone]})
+            for s in gone:
+                self.fs.delete(self._path(s), True)
 
     def search(self, query: str, limit: int = LIMIT, prefix: str = "") -> dict:
         """total and hits of a query, as the search command gives them; term_counts if there is no hit. At most limit rows

@@ -108,3 +108,24 @@ def test_query_equals_its_sql(spark, tables, name):
     assert sorted(got.columns) == columns
     plain = lambda x: sorted(map(repr, x[columns].astype(object).where(x[columns].notna(), None).itertuples(index=False, name=None)))
     assert plain(got) == plain(want)
+
+
+def test_indexes_that_refresh_in_turn_keep_each_others_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "SEGMENTS", 2)
+
+    def docs(name, text):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.md").write_bytes(text)
+        return files.read_markdown(spark, str(tmp_path / name), None)
+
+    one, two = (search.Index(spark, str(tmp_path / "index")) for _ in range(2))
+    one.refresh(docs("a", b"An amber lamp.\n"), complete=False)
+    two.refresh(docs("b", b"A brass lamp.\n"), complete=False)
+    assert two.search("lamp")["total"] == 2 and one.search("lamp")["total"] == 1
+    old = search.Index(spark, str(tmp_path / "index"))
+    one.refresh(docs("c", b"\xff"), complete=False)
+    assert one.notes[-1] == "skipped c.md: not valid UTF-8" and one.search("amber lamp")["total"] == 1
+    assert len(one.manifest["segments"]) == 1 and len(one.manifest["retired"]) == 3 and old.search("lamp")["total"] == 2  # merged
+    monkeypatch.setattr(search, "STALE", -1)
+    two.refresh(docs("d", b"A dim lamp.\n"), complete=False)
+    assert not two.manifest["retired"] and two.search("lamp")["total"] == 3
