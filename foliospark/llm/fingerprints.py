@@ -5,6 +5,10 @@ Such sketches merge (merge), and estimate resemblance, containment and the numbe
 
 from __future__ import annotations
 
+import json
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +17,8 @@ from .common import table
 
 #: Hashes that a sketch keeps, bits of a hash, words of a shingle.
 K, BITS, SHINGLE = 64, 48, 5
-#: Documents of a range in which next documents are looked up, and the most ranges.
+#: Documents of a range in which next documents are looked up, and the most ranges (the driver holds a number for each);
+#: with more documents, ranges are larger.
 ROWS_A_RANGE, MOST_RANGES = 1_000, 20_000
 
 
@@ -63,32 +68,55 @@ def encoded(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda v: F.lpad(F.lower(F.hex(v)), BITS // 4, "0")), "")
 
 
+def _part(heads: list[float], place: Column) -> Column:
+    """How many of the ascending heads lie before place: first among every so-manieth, then among those between two of them."""
+    size = max(1, math.isqrt(len(heads)))
+    chunks = [heads[i : i + size] for i in range(0, len(heads), size)]
+    listed = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    before = lambda x: F.size(F.filter(x, lambda h: h < place))
+    chunk = F.least(before(listed([c[-1] for c in chunks], "array<double>")), F.lit(len(chunks) - 1))
+    return _once(chunk, lambda c: c * size + before(F.get(listed(chunks, "array<array<double>>"), c)))
+
+
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs, and as next_<column> those of the next row by descending doc_id (null last; then crc32 of text); the first
-    row's after the last row.
+    """docs (doc_id, text and more), and as next_<column> those of the next row by descending doc_id (null last; then crc32 of
+    text); the first row's after the last row.
 
     Ranges of that order hold about ROWS_A_RANGE rows; the first row of a range is also put at the end of the range
-    before it, so each range is worked out alone and texts move once. Equal rows may stand in any order.
+    before it, so each range is worked out alone and texts move once. Equal rows may stand in any order. Where rows of one
+    doc_id and text fill more than a range, they are counted first, where they are, and expanded last: each but one of
+    them is followed by its equal.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     #: One number that follows the order of (doc_id, crc32), so that ranges can also part a much repeated doc_id.
     place = F.coalesce(F.col("doc_id").cast("double") + F.crc32(text) / F.lit(2.0**32 + 1), F.lit(-2.0e19) + F.crc32(text) * F.lit(4096.0))
     parts = min(MOST_RANGES, max(1, docs.count() // ROWS_A_RANGE))
     marks = docs.select(place.alias("p")).agg(F.percentile_approx("p", [(i + 1) / parts for i in range(parts)], max(10_000, 20 * parts)), F.max("p")).first()
-    heads = sorted({*(marks[0] or []), *([] if marks[1] is None else [marks[1]])}) or [0.0]
-    n = len(heads)
-    bounds = F.array(*map(F.lit, heads)) if n < 3 else F.expr(f"cast(split('{','.join(map(repr, heads))}', ',') as array<double>)")
-    part = F.size(F.filter(bounds, lambda x: x < F.col("_place")))
-    put = F.when(F.array_contains(bounds, F.col("_place")), F.array(F.struct(F.col("_part").alias("part"), F.lit(0).alias("copy")), F.struct(((F.col("_part") + 1) % n).alias("part"), F.lit(1).alias("copy")))).otherwise(F.array(F.struct(F.col("_part").alias("part"), F.lit(0).alias("copy"))))
-    rows = docs.withColumn("_place", place).withColumn("_part", part).withColumn("_put", F.explode(put))
-    w = Window.partitionBy("_put.part").orderBy("_put.copy", F.col("doc_id").desc_nulls_last(), F.col("_place").desc(), "text")
+    met = Counter(marks[0] or [])
+    heads = sorted({*met, *([] if marks[1] is None else [marks[1]])}) or [0.0]
+    hot = sorted(x for x, n in met.items() if n > 1)
+    rows = docs.withColumn("_place", place).withColumn("_n", F.lit(1).cast("bigint"))
+    if hot:
+        among = F.array_contains(F.from_json(F.lit(json.dumps(hot)), "array<double>"), F.col("_place"))
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        counted = rows.where(among).groupBy("doc_id", "text", "_place").agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in rest))
+        rows = rows.where(~among).unionByName(counted)
+    n, bounds = len(heads), F.from_json(F.lit(json.dumps(heads)), "array<double>")
+    here = F.struct(F.col("_part").alias("part"), F.lit(0).alias("copy"))
+    before = F.struct(((F.col("_part") + 1) % n).alias("part"), F.lit(1).alias("copy"))
+    is_head = F.get(bounds, F.col("_part")) == F.col("_place")
+    rows = rows.withColumn("_part", _part(heads, F.col("_place"))).withColumn("_put", F.explode(F.when(is_head, F.array(here, before)).otherwise(F.array(here))))
+    w = Window.partitionBy("_put.part").orderBy("_put.copy", F.col("doc_id").desc_nulls_last(), F.col("_place").desc(), F.xxhash64("text"))
     rows = rows.withColumn("_next", F.lead(F.struct(*columns)).over(w)).where("_put.copy = 0")
+    if hot:
+        rows = rows.withColumn("_next", F.explode(F.concat(F.array(F.col("_next")), F.array_repeat(F.struct(*columns), (F.col("_n") - 1).cast("int")))))
     return rows.select(*docs.columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     """A row per row of docs (doc_id, text): fingerprints of the text and of the text whose last third gives way to the
-    start of the next document's, and how alike they are. Null texts count as empty. A lone document follows itself."""
+    start of the next document's, and how alike they are. Null texts count as empty; a lone document follows itself; an empty
+    table gives no rows; texts of any length are read whole. Repeated rows give a row each, and follow each other."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("own", sketch(F.col("text"), k))
     rows = with_next(own, ["text", "own"])
     n = F.length("text")

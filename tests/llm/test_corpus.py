@@ -314,18 +314,50 @@ def test_components(spark):
 # Fingerprints.
 
 
+def brute_sketch(spark, text):
+    """The 64 least of the hashes of five words in a row, one after the other."""
+    w = text.lower().split()
+    runs = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    rows = spark.createDataFrame([(list(r),) for r in runs] or [(["none"],)], "w array<string>").select(F.shiftrightunsigned(F.xxhash64("w"), 16)).collect()
+    return sorted(r[0] for r in rows)[:64] if runs else []
+
+
+def brute_likeness(a, b):
+    u = sorted({*a, *b})[:64]
+    return len({*u} & {*a} & {*b}) / len(u) if u else 1.0
+
+
 def test_fingerprints_against_brute_force(spark):
-    docs = [(1, "a b c d e f"), (2, "é" * 10), (3, None), (4, ""), (5, "a b c d e f"), (6, "one two three four five six seven eight")]
+    many = " ".join(f"w{i}" for i in range(150))
+    docs = [(1, "a b c d e f"), (2, "é" * 10), (3, None), (4, ""), (5, "a b c d e f"), (6, "one two three four five six seven eight"), (7, many), (8, many + " end"), (None, "last one")]
     got = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame(docs, DOCS)).collect()}
-    order = sorted(docs, reverse=True)
+    order = sorted(docs, key=lambda d: -1 if d[0] is None else d[0], reverse=True)
     for i, (d, t) in enumerate(order):
         t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
         k = len(t) // 3
         edited = t[: len(t) - k] + nxt[:k]
         assert got[d].n_chars == len(t) and got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        own, other, after = (brute_sketch(spark, x) for x in (t, edited, nxt))
+        assert got[d].fingerprint == "".join(f"{x:012x}" for x in own) and got[d].edited_fingerprint == "".join(f"{x:012x}" for x in other)
+        assert abs(got[d].near_edited - brute_likeness(own, other)) < 1e-12 and abs(got[d].near_next - brute_likeness(own, after)) < 1e-12
     assert got[1].fingerprint == got[5].fingerprint and got[6].n_shingles == 4
 
 
+@pytest.mark.parametrize("size", [3, 1000])
+def test_next_documents_over_many_ranges(spark, monkeypatch, size):
+    monkeypatch.setattr(fingerprints, "ROWS_A_RANGE", size)
+    docs = [(i * 7 % 101, f"t{i * 7 % 101}") for i in range(101)] + [(50, "t50")] * 60 + [(60, f"u{i}") for i in range(40)] + [(None, "n"), (None, "n"), (2**62, "big"), (2**62 + 1, "bigger")]
+    got = fingerprints.with_next(spark.createDataFrame(docs, DOCS).repartition(3), ["doc_id", "text"]).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(docs) == Counter((r.next_doc_id, r.next_text) for r in got)
+    place = lambda d: -1 if d is None else d
+    steps = sorted({d for d, _ in docs}, key=place, reverse=True)
+    after = dict(zip(steps, steps[1:] + steps[:1], strict=True))
+    for d in steps:
+        out = Counter(r.next_doc_id for r in got if r.doc_id == d)
+        n = sum(x == d for x, _ in docs)
+        assert out == Counter({d: n - 1, after[d]: 1} if n > 1 else {after[d]: 1})
+
+
 def test_sketch_estimates_merge_and_contain(spark):
     t = [" ".join(f"w{i}" for i in range(a, b)) for a, b in ((0, 1000), (200, 1200))]
     x = spark.createDataFrame([tuple(t)], "a string, b string").select(fingerprints.sketch(F.col("a")).alias("a"), fingerprints.sketch(F.col("b")).alias("b"))
