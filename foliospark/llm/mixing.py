@@ -3,6 +3,7 @@ gradient so that the expected tokens of each domain match their targets. DataFra
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass
 
@@ -13,8 +14,9 @@ from .common import Written, table
 
 #: Share of tokens that each domain (a quality label) should have.
 TARGETS = {"quality=1": 0.92, "quality=0": 0.08}
-#: Steps of the fit at most, where it ends (largest gap to a target, of that target), and how sharp posteriors are.
-ROUNDS, CLOSE, SHARPNESS = 40, 0.002, 0.35
+#: Steps of the fit at most, where it ends (largest gap to a target, of that target), and how sharp posteriors are. It also
+#: ends after STALLED steps that bring it no nearer: targets that no rates meet, such as a domain's without documents.
+ROUNDS, CLOSE, SHARPNESS, STALLED = 200, 0.002, 0.35, 10
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _MARKS = "#$%&*|!+=<>_{}[]@^~"
 
@@ -88,11 +90,13 @@ def _rate(history: list[list[float]], start: float, p: Column) -> Column:
 
 @dataclass
 class Plan:
-    """A fit: a few numbers a domain. history holds the steps that lead from budget to each document's rate."""
+    """A fit: a few numbers a domain. history holds the steps that lead from budget to each document's rate; gap is the
+    largest distance left to a target, as a share of it."""
 
     domains: dict[str, list]
     budget: float
     history: list[list[float]]
+    gap: float = 0.0
 
     def put(self, seen: DataFrame) -> DataFrame:
         """seen, rows of _seen, with domain (the likeliest), posteriors, rate and copies. A narrow pass."""
@@ -118,14 +122,19 @@ def fit(seen: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
         budget = min((a / (w / sum(weight)) for a, w in zip(whole, weight, strict=True)), default=1.0) / (sum(whole) or 1.0) if domains else 1.0
     wanted = [budget * sum(whole) * w / sum(weight) for w in weight]
     history: list[list[float]] = []
-    for _ in range(rounds):
+    best, since, gap = math.inf, 0, math.inf
+    while True:
         rate = _rate(history, budget, p)
         now = [x or 0.0 for x in small.withColumn("r", rate).agg(*(F.sum(F.col("r") * tokens * p[i]).alias(f"a{i}") for i in range(k))).first()]
-        if all(abs(x - t) <= CLOSE * max(t, 1e-9) for x, t in zip(now, wanted, strict=True)):
+        gap = max(abs(x - t) / max(t, 1e-9) for x, t in zip(now, wanted, strict=True)) if sum(whole) else 0.0
+        best, since = (gap, 0) if gap < best * 0.999 else (best, since + 1)
+        if gap <= CLOSE or len(history) >= rounds or since >= STALLED:
             break
         history.append([(x - t) / max(a, 1e-9) for x, t, a in zip(now, wanted, whole, strict=True)])
+    if gap > CLOSE:
+        logging.getLogger(__name__).warning("targets are missed by up to %.1f %% after %d steps", 100 * gap, len(history))
     written.drop(small)
-    return Plan(domains, budget, history)
+    return Plan(domains, budget, history, gap)
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -136,7 +145,9 @@ def _slim(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, rounds: int = ROUNDS) -> DataFrame:
     """docs with n_tokens, domain (the likeliest), posteriors, rate, and copies: how often the row is taken.
 
-    Rates are never negative; where the targets can be met, sum(rate * n_tokens * posterior) meets them for each domain
+    Of domains that are equally likely the first by name counts. Null texts count as empty; empty ones have no tokens; texts
+    of any length are read whole; repeated rows are taken alike; an empty table gives no rows. A fit that ends without
+    meeting its targets logs a warning, and Plan.gap tells how far it is. Rates are never negative; where the targets can be met, sum(rate * n_tokens * posterior) meets them for each domain
     within CLOSE. copies is rate rounded up or down by a hash of the row, so its mean is the rate. Domains without
     labelled rows leave their share to the others; without labelled rows at all, each rate is budget. Texts are never
     shuffled. budget is the share of all tokens to take; None takes the most for which no domain as a whole must repeat.

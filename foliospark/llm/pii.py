@@ -113,10 +113,14 @@ _WORD = re.compile(r"\S+")
 _STRIP = "\"'.,;:!?"
 
 
-@functools.lru_cache(100_000)
 def features(word: str) -> tuple[str, ...]:
-    """What a word looks like: its shape with lengths of digit runs, the shape without, and a cue that it gives."""
-    w = word.strip(_STRIP)[:64]
+    """What a word looks like: its shape with lengths of digit runs, the shape without, and a cue that it gives. Those of short
+    words are kept."""
+    return _kept_features(word) if len(word) <= 64 else _features(word)
+
+
+def _features(word: str) -> tuple[str, ...]:
+    w = word.strip(_STRIP)
     if cue := _CUES.get(w.lower()):
         return ("bias", f"cue={cue}")
     if not _DIGIT.search(w):
@@ -126,6 +130,9 @@ def features(word: str) -> tuple[str, ...]:
     return ("bias", f"exact={exact}", "shape=" + re.sub(r"(.)\1+", r"\1", exact), f"digits={min(sum(c.isdigit() for c in w), 20) // 2}", f"start={exact[:3]}")
 
 
+_kept_features = functools.lru_cache(100_000)(_features)
+
+
 class Field:
     """Weights by feature and label, for the word itself and its neighbours, and by pairs of labels."""
 
@@ -268,7 +275,8 @@ SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone big
 def find_personal_data(docs: DataFrame, rows: list[tuple[str, str]] = TRAIN) -> DataFrame:
     """A row per row of docs (doc_id, text): counts and digest of the base spans, and all spans, by kind, then start.
 
-    The field is trained on the driver from rows, a small labelled table. One pass over whole texts, no shuffle.
+    The field is trained on the driver from rows, a small labelled table. One pass over whole texts of any length, no shuffle;
+    repeated rows give repeated rows.
     Null texts count as empty; texts without personal data have no spans and the digest of no bytes.
     """
     field = trained() if rows is TRAIN else Field(rows)

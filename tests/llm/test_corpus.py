@@ -400,6 +400,37 @@ def test_mixing_follows_other_targets_like_numpy(spark, tables):
     assert np.allclose(rate, [r.rate for r in got], atol=1e-6)
 
 
+def brute_features(t):
+    t = t or ""
+    words, n = [w for w in re.split(r"[ \t\n\x0b\f\r]+", t) if w], len(t)
+    share = lambda chars: sum(c in chars for c in t) / max(n, 1)
+    return [np.log1p(n), share(mixing._MARKS) ** 0.5, share(mixing._UPPER) ** 0.5, ((len(t.encode()) - n) / max(n, 1)) ** 0.5, len(set(words)) / max(len(words), 1), np.log1p(n / max(len(words), 1))], len(words)
+
+
+def test_posteriors_against_numpy(spark, tables):
+    docs, labels = (spark.read.parquet(f"{tables}/{n}.parquet") for n in ("documents", "labels"))
+    rows = {r.doc_id: brute_features(r.text) for r in docs.collect()}
+    quality = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in rows}
+    groups = [np.array([rows[d][0] for d, q in quality.items() if q == k]) for k in (0, 1)]
+    f = np.array([x for x, _ in rows.values()])
+    s = np.zeros((len(f), 2))
+    for k, g in enumerate(groups):
+        mu, v = g.mean(0), g.var(0) + 1e-3
+        s[:, k] = np.log(len(g) / len(quality)) - mixing.SHARPNESS * 0.5 * (np.log(v).sum() + ((f - mu) ** 2 / v).sum(1))
+    p = np.exp(s - s.max(1)[:, None])
+    p /= p.sum(1)[:, None]
+    got = {r.doc_id: r for r in mixing.mix(docs, labels).collect()}
+    assert np.allclose([got[d].posteriors for d in rows], p, atol=1e-9) and [got[d].n_tokens for d in rows] == [n for _, n in rows.values()]
+    assert [got[d].domain for d in rows] == [f"quality={k}" for k in p.argmax(1)]
+
+
+def test_targets_that_cannot_be_met_are_told(spark, caplog):
+    docs = spark.createDataFrame([(i, "same words here") for i in range(20)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id bigint, quality int, toxic int")
+    plan = mixing.fit(mixing._slim(docs), labels)
+    assert plan.gap > mixing.CLOSE and len(plan.history) < mixing.ROUNDS and "missed" in caplog.text
+
+
 def test_mixing_of_odd_tables(spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (None, "a b", "z")], "doc_id bigint, text string, rate string")
