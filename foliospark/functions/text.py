@@ -50,8 +50,14 @@ def fold_column(text: Column) -> Column:
 
 
 def slug_column(text: Column) -> Column:
-    """Slugs of headings of ASCII alone, without Python: for tables known to hold no others, and as the fast path."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
+    """Slugs of headings; those of ASCII alone stay in the JVM."""
+
+    @F.pandas_udf("string")
+    def slug(x: pd.Series) -> pd.Series:
+        return x.map(heading_slug, na_action="ignore")
+
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.when(text.rlike(r"\A[\x00-\x7f]*\z"), plain).otherwise(slug(text))
 
 
 def numbered_tail(slug: Column) -> Column:

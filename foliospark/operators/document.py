@@ -10,8 +10,8 @@ from ..sources import frontmatter
 from .blocks import Block, Parser
 from .inline import pieces, plain, stripped, visible
 
-#: A comment that turns checks off: any tool's name, -disable for what follows or -disable-file, and the ids.
-_DIRECTIVE = re.compile(r"<!--\s*[a-z][a-z0-9]*-disable(-file)?[ \t]+([a-z_-]+(?:(?:[ \t]*,[ \t]*|[ \t]+)[a-z_-]+)*)\s*-->")
+#: A comment that turns checks off: a tool's name, -disable for what follows or -disable-file, and the ids.
+_DIRECTIVE = re.compile(r"<!--\s*([a-z][a-z0-9]*)-disable(-file)?[ \t]+([a-z_-]+(?:(?:[ \t]*,[ \t]*|[ \t]+)[a-z_-]+)*)\s*-->")
 #: Characters of a paragraph that can lead in what follows.
 LEAD_IN = 120
 
@@ -91,8 +91,9 @@ def decode(data: bytes) -> str:
     return data.removeprefix(b"\xef\xbb\xbf").decode()
 
 
-def parse(source: str, strip: bool = True, detail: bool = True) -> Document:
-    """The document of source. strip: matchers see text without inline markup; detail: bodies and snippets for search too."""
+def parse(source: str, strip: bool = True, detail: bool = True, tool: str | None = None) -> Document:
+    """The document of source. strip: matchers see text without inline markup; detail: bodies and snippets for search too; tool:
+    the name in comments that turn checks off, any if None."""
     lines = re.sub(r"\r(?!\n)", "\n", source).split("\n") if "\r" in source else source.split("\n")
     starts, at = [], 0
     for x in lines:
@@ -106,7 +107,7 @@ def parse(source: str, strip: bool = True, detail: bool = True) -> Document:
     p = Parser()
     tree = p.parse([x.replace("\0", "�") for x in shown])
     refs = p.references
-    off_lines, off_file = _directives(tree, lines)
+    off_lines, off_file = _directives(tree, lines, tool)
     make = _Maker(lines, starts, total, refs, strip, detail, off_lines)
     root = Node("root", 1, 1, 0, total)
     stack, ordinals = [root], {}
@@ -129,7 +130,7 @@ def parse(source: str, strip: bool = True, detail: bool = True) -> Document:
     return Document(source, root, front, off_file, starts)
 
 
-def _directives(tree: Block, lines: list[str]) -> tuple[dict[int, frozenset[str]], frozenset[str]]:
+def _directives(tree: Block, lines: list[str], tool: str | None) -> tuple[dict[int, frozenset[str]], frozenset[str]]:
     """Ids turned off from the line after each comment (lines from 1), and for the whole file; code holds no comments."""
     code, todo = set(), [tree]
     while todo:
@@ -141,8 +142,10 @@ def _directives(tree: Block, lines: list[str]) -> tuple[dict[int, frozenset[str]
     for i, x in enumerate(lines):
         if "-disable" in x and i not in code:
             for m in _DIRECTIVE.finditer(x):
-                ids = frozenset(re.findall(r"[a-z_-]+", m[2]))
-                if m[1]:
+                if tool is not None and m[1] != tool:
+                    continue
+                ids = frozenset(re.findall(r"[a-z_-]+", m[3]))
+                if m[2]:
                     whole |= ids
                 elif m[0] == x.strip():
                     by_line[i + 2] = ids

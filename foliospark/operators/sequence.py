@@ -18,7 +18,29 @@ def assign(edges: np.ndarray, low: list[int], high: list[int | None], reluctant:
     """
     n, q = edges.shape
     found = _accept(edges, low, [n if h is None else min(h, n) for h in high], reluctant)
-    return (found, True) if found is not None else (_recover(edges), False)
+    out = (found, True) if found is not None else (_recover(edges), False)
+    verify(edges, low, high, *out)
+    return out
+
+
+class Inconsistent(RuntimeError):
+    """An assignment that its rules don't allow: no result may be drawn from it."""
+
+
+def verify(edges: np.ndarray, low: list[int], high: list[int | None], rules: list[int], accepted: bool) -> None:
+    """Raises Inconsistent unless each node's rule matches it, rules come in order and, if accepted, each node has one and
+    each rule as many as it may. O(nodes + rules)."""
+    n, q = edges.shape
+    count, last = [0] * q, 0
+    for i, r in enumerate(rules):
+        if r < 0 and not accepted:
+            continue
+        if not last <= r < q or edges[i, r] < 0:
+            raise Inconsistent(f"node {i} can't have rule {r}")
+        count[r] += 1
+        last = r
+    if len(rules) != n or accepted and any(c < a or b is not None and c > b for c, a, b in zip(count, low, high, strict=True)):
+        raise Inconsistent("an accepted assignment breaks a cardinality")
 
 
 def _accept(edges: np.ndarray, low: list[int], high: list[int], reluctant: list[bool]) -> list[int] | None:

@@ -412,9 +412,10 @@ class _Run:
         return {"kind": "rule", "locator": p.locator, "anchor": "schema_root" if p.absolute else "current_scope", "path": names} | ({"positions": at} if any(i is not None for i in at) else {}) | {"matcher": m}
 
 
-def check(schema: Schema, source: str, all_of_them: bool = False) -> list[Diagnostic]:
-    """The diagnostics of one document; with all_of_them those that the document turns off too."""
-    doc = parse(source, schema.strip, detail=False)
+def check(schema: Schema, source: str, all_of_them: bool = False, tool: str | None = None) -> list[Diagnostic]:
+    """The diagnostics of one document; with all_of_them those that the document turns off too, by comments of tool (None:
+    of any)."""
+    doc = parse(source, schema.strip, detail=False, tool=tool)
     return [d for d in _Run(schema, doc).run() if all_of_them or not d.suppressed]
 
 

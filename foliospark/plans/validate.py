@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import columns
 from ..operators.parse import failures, per_document
+from ..operators.sequence import Inconsistent
 from .check import check, target_key
 from .jsonpath import QueryCost
 from .schema import Schema, load
@@ -50,15 +51,16 @@ def _sort_key(d):
     return d.line, d.col, d.id, (0,) if d.place is None else (1, d.place), target_key(d.target), d.message.encode(), _json(d.node) or "", json.dumps(d.involved), json.dumps(d.references)
 
 
-def checked(docs: DataFrame, schema: str, resources: dict | None = None, key: str = "doc_id", text: str = "source") -> DataFrame:
+def checked(docs: DataFrame, schema: str, resources: dict | None = None, key: str = "doc_id", text: str = "source", tool: str | None = None) -> DataFrame:
     """Every diagnostic, those that a document turns off marked as suppressed, and one row with error for each document
-    whose check could not be finished. ord is the place in the document's total order."""
+    whose check could not be finished. ord is the place in the document's total order. tool: the name in comments that turn
+    checks off, any if None."""
     spelled = _compiled(schema, resources)
 
     def rows(_, source: str):
         try:
-            found = sorted(check(_schema(spelled, resources), source, True), key=_sort_key)
-        except (QueryCost, RecursionError) as x:
+            found = sorted(check(_schema(spelled, resources), source, True, tool), key=_sort_key)
+        except (QueryCost, RecursionError, Inconsistent) as x:
             yield {"error": str(x) or "nested too deep"}
             return
         for i, d in enumerate(found):
@@ -68,14 +70,15 @@ def checked(docs: DataFrame, schema: str, resources: dict | None = None, key: st
     return per_document(docs, rows, DIAGNOSTICS, key, text)
 
 
-def validate(docs: DataFrame, schema: str, resources: dict | None = None, key: str = "doc_id", text: str = "source") -> DataFrame:
+def validate(docs: DataFrame, schema: str, resources: dict | None = None, key: str = "doc_id", text: str = "source", tool: str | None = None) -> DataFrame:
     """Diagnostics of all documents against the schema's text. Suppression comes last, so what a document turns off still
     has its effect on what depends on it. Raises SchemaErrors."""
-    return checked(docs, schema, resources, key, text).where("error is null and not suppressed").drop("suppressed", "error")
+    return checked(docs, schema, resources, key, text, tool).where("error is null and not suppressed").drop("suppressed", "error")
 
 
 def operational_errors(docs: DataFrame, schema: str, resources: dict | None = None, key: str = "doc_id", text: str = "source") -> DataFrame:
-    """(key, error) of documents without a verdict: not UTF-8, or a query that would cost too much."""
+    """(key, error) of documents without a verdict: not UTF-8, a query that would cost too much, or an assignment that breaks
+    its own rules."""
     return failures(docs, key, text).unionByName(checked(docs, schema, resources, key, text).where("error is not null").select(key, "error"))
 
 

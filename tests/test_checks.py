@@ -1,9 +1,14 @@
 """Schemas and the diagnostics that they give."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from foliospark.functions.text import heading_slug, slug_column
+from foliospark.operators.sequence import Inconsistent, verify
 from foliospark.plans import schema
 from foliospark.plans.check import check
+from foliospark.plans.jsonschema import SchemaInvalid, Validator
 
 
 def found(text, source):
@@ -105,3 +110,34 @@ def test_a_large_scope_stays_fast():
     text = T + "extras: anywhere\nsections:\n" + "".join(f"- {{match: 'H {i} *', id: r{i}, required: false}}\n" for i in range(100))
     source = "# T\n" + "".join(f"## H {i} x\n" for i in range(200))
     assert ids(text, source) == []
+
+
+def test_only_the_named_tool_turns_checks_off():
+    rules = schema.load("version: 1\ntitle: T\nsections: []\n")
+    text = "# T\n\n<!-- other-disable unexpected-section -->\n## A\n\n<!-- mine-disable unexpected-section -->\n## B\n"
+    assert [len(check(rules, text, tool=t)) for t in (None, "mine", "other", "none")] == [0, 1, 1, 2]
+
+
+def test_patterns_of_json_schemas_take_linear_time():
+    slow = {"type": "string", "pattern": "^(a+)+$"}
+    assert Validator(slow).errors("a" * 60 + "b") and not Validator(slow).errors("a" * 60)
+    assert Validator({"pattern": "a$"}).errors("a\n") and not Validator({"pattern": "(?=b)b"}).errors("abc")
+    with pytest.raises(SchemaInvalid):
+        Validator({"patternProperties": {"(": True}})
+
+
+@pytest.mark.parametrize(("rules", "accepted"), [([0, 0, 1], True), ([0, 1, 0], False), ([1, -1, -1], False), ([0, -1, 1], True), ([1, 1, 1], True), ([0, 0], False), ([2, 2, 2], False)])
+def test_assignments_are_verified(rules, accepted):
+    edges, low, high = np.array([[0, -1], [0, 0], [0, 0]]), [1, 0], [2, None]
+    ok = accepted and rules == [0, 0, 1]
+    if ok:
+        verify(edges, low, high, rules, accepted)
+    else:
+        with pytest.raises(Inconsistent):
+            verify(edges, low, high, rules, accepted)
+
+
+def test_slugs_of_any_text(spark):
+    texts = ["Setup & Run", "Mälardalen ﬃ", "ﬀ—É 2", "", None, "--a--", "日本"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(slug_column(F.col("t")).alias("s"))
+    assert [r.s for r in df.collect()] == [None if t is None else heading_slug(t) for t in texts]
