@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
 
@@ -102,8 +103,8 @@ class Rule:
 
 @dataclass(eq=False)
 class Proposition:
-    """kind section: steps of (rule index, position or None) from the scope up levels above (None: the outermost);
-    query: a JSONPath with an optional (kind, text) to equal; capture: a name."""
+    """kind section: steps of (rule index, position or None) from the constraint's scope, or from the outermost if absolute;
+    declared are the steps from the outermost in either case; query: a JSONPath with an optional (kind, text) to equal; capture: a name."""
 
     kind: str
     locator: str
@@ -112,10 +113,11 @@ class Proposition:
     query: jsonpath.Query | None = None
     equals: tuple[str, str] | None = None
     name: str = ""
+    declared: tuple = ()
 
     def identity(self, match_case: bool = False):
         if self.kind == "section":
-            return ("section", self.absolute, tuple(self.steps))
+            return ("section", self.declared)
         if self.kind == "capture":
             return ("capture", self.name)
         e = self.equals
@@ -723,7 +725,8 @@ class _Loader:
             if kind in ("p", "list") and not any(a[0] == kind for r in now.content or [] for a in r.alternatives):
                 return self.fail("unresolved-ref", node, f"no {kind} is declared there")
             return self.fail("ordered-scope-mismatch", node, "a block has no place among headings") if ordered else shape(f"{text} is no proposition")
-        return Proposition("section", text, steps, bool(m[1]))
+        lead = [] if m[1] else [(next(i for i, r in enumerate(up.rules) if r.scope is down), None) for up, down in itertools.pairwise(chain)]
+        return Proposition("section", text, steps, bool(m[1]), declared=(*lead, *steps))
 
 
 def load(text: str, resources: dict | None = None) -> Schema:
