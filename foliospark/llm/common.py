@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import hashlib
 import tempfile
@@ -84,11 +85,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Written:
-    """Tables in the shared folder. Each can be dropped once nothing reads it any more."""
+    """Tables in the shared folder. Each can be dropped once nothing reads it any more; those that results still read go when
+    the process ends."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.top, self.n = spark, f"{shared_dir(spark)}/foliospark-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
+        atexit.register(self._end)
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -107,15 +110,22 @@ class Written:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def _end(self) -> None:
+        try:
+            self._delete(self.top)
+        except Exception:  # the session is gone already, and with it what could read the tables
+            pass
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Drops all tables but these."""
+        for key in self.paths.keys() - {id(x) for x in tables}:
+            self._delete(self.paths.pop(key))
+        self.tidy()
 
     def only(self, df: DataFrame) -> DataFrame:
         """As put, and drops all tables before it."""
-        before = list(self.paths.items())
         out = self.put(df)
-        for key, path in before:
-            self.paths.pop(key, None)
-            self._delete(path)
-        self.tidy()
+        self.keep(out)
         return out
 
     def tidy(self) -> None:
@@ -129,13 +139,13 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def components(spark: SparkSession, links: DataFrame) -> DataFrame:
+def components(spark: SparkSession, links: DataFrame, written: Written | None = None) -> DataFrame:
     """Connected components of links (a, b: equal types, no nulls): rows (id, component), the smallest id reachable.
 
     Alternates the large-star and small-star steps, so that rounds grow with the logarithm of the longest path
     and no node gathers its neighbours in one row; each round is written and the one before is dropped.
     """
-    written = Written(spark)
+    written = written or Written(spark)
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:

@@ -265,7 +265,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[Broadcas
         found = part if found is None else found.unionByName(part)
         tests.destroy()
     whole = found.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("best").alias("best"))
-    return None, written.put(whole.toDF("d", "t", "runs", "items", "best"))
+    return None, written.only(whole.toDF("d", "t", "runs", "items", "best"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

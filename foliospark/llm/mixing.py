@@ -137,9 +137,9 @@ def fit(seen: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     return Plan(domains, budget, history, gap)
 
 
-def _slim(docs: DataFrame) -> DataFrame:
+def _slim(docs: DataFrame, written: Written | None = None) -> DataFrame:
     """What fit needs of docs, written: texts are read once for it."""
-    return Written(docs.sparkSession).put(_seen(docs.select("doc_id", "text")).select("doc_id", "n_tokens", "_f", "_chance"))
+    return (written or Written(docs.sparkSession)).put(_seen(docs.select("doc_id", "text")).select("doc_id", "n_tokens", "_f", "_chance"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -152,7 +152,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     labelled rows leave their share to the others; without labelled rows at all, each rate is budget. Texts are never
     shuffled. budget is the share of all tokens to take; None takes the most for which no domain as a whole must repeat.
     """
-    return fit(_slim(docs), labels, targets, budget, rounds).put(_seen(docs))
+    written = Written(docs.sparkSession)
+    plan = fit(_slim(docs, written), labels, targets, budget, rounds)
+    written.keep()
+    return plan.put(_seen(docs))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:

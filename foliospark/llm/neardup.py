@@ -123,7 +123,10 @@ class Links:
             return pa.RecordBatch.from_pydict({"set_key": [hashlib.blake2b(s, digest_size=16).digest() for s in sets], "hashes": sets})
 
         got = self.written.put(scan(rows, run, "set_key binary, hashes binary").dropDuplicates(["set_key"]))
-        self.sets = got if self.sets is None else self.written.put(self.sets.unionByName(got))
+        known, self.sets = self.sets, got if self.sets is None else self.written.put(self.sets.unionByName(got))
+        if known is not None:
+            self.written.drop(known)
+            self.written.drop(got)
 
     def lowest(self, needed: DataFrame) -> DataFrame:
         """(set_key, low): the LOWEST least hashes of each set, 32 bits of each, sorted."""
@@ -189,7 +192,7 @@ def labelled(docs: DataFrame, written: Written, shingle: int, percent: int) -> t
     reps = written.put(slim.select("set_key", "f.doc_id", "f.th", "n_shingles", "bands"))
     bands = reps.select("set_key", F.posexplode("bands").alias("band", "value")).where("value <> -1")
     buckets = bands.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    members = written.put(bands.join(buckets, ["band", "value"]).select("band", "value", "n", "set_key", F.col("set_key").alias("component")))
+    members = base = written.put(bands.join(buckets, ["band", "value"]).select("band", "value", "n", "set_key", F.col("set_key").alias("component")))
     known = Links(docs, reps, written, shingle, percent)
     found = docs.sparkSession.createDataFrame([], "id binary, component binary")
     for turn in range(TURNS + 1):
@@ -198,9 +201,13 @@ def labelled(docs: DataFrame, written: Written, shingle: int, percent: int) -> t
         members = members.join(split, ["band", "value"])
         if turn:
             members = written.put(members)
-        pairs = stars(members, turn) if turn < TURNS else across(members, reps, known, percent)
-        more = known.confirm(written.put(pairs.distinct()), STARS if turn < TURNS else None)
-        found = written.put(merged(docs.sparkSession, found, more))
+            written.drop(base)
+            base = members
+        pairs = written.put((stars(members, turn) if turn < TURNS else across(members, reps, known, percent)).distinct())
+        more, before = known.confirm(pairs, STARS if turn < TURNS else None), found
+        found = written.put(merged(docs.sparkSession, found, more, written))
+        for x in (pairs, more, *([before] if turn else [])):
+            written.drop(x)
         if turn < TURNS:
             own = members.join(found, members.set_key == found.id, "left")
             members = own.select("band", "value", "n", "set_key", F.coalesce(found.component, "set_key").alias("component"))
@@ -214,6 +221,7 @@ def decided(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     sig, label = labelled(docs, written, shingle, percent)
     ids = written.put(label.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     final = written.put(label.join(ids, "component").select("set_key", "component_id"))
+    written.keep(sig, final)
     out = sig.select("doc_id", "th", "n_shingles", "set_key").join(final, "set_key", "left")
     own = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "th", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
@@ -225,13 +233,13 @@ def stars(members: DataFrame, turn: int) -> DataFrame:
     return members.join(lead, ["band", "value"]).where("component <> ca").select("a", F.col("set_key").alias("b"))
 
 
-def merged(spark: SparkSession, found: DataFrame, more: DataFrame) -> DataFrame:
+def merged(spark: SparkSession, found: DataFrame, more: DataFrame, written: Written) -> DataFrame:
     """found (id, component) with the links more: only components that more joins are worked on."""
 
     def name(x: DataFrame, k: str) -> DataFrame:
         return x.join(found.toDF("id", f"c{k}"), F.col(k) == F.col("id"), "left").withColumn(f"c{k}", F.coalesce(f"c{k}", k)).drop("id")
 
-    joined = components(spark, name(name(more, "a"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("was", "now")
+    joined = components(spark, name(name(more, "a"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")), written).toDF("was", "now")
     alone = joined.join(found.select(F.col("id").alias("was")), "was", "left_anti").select(F.col("was").alias("id"), F.col("was").alias("component"))
     return found.unionByName(alone).join(joined, F.col("component") == F.col("was"), "left").select("id", F.coalesce("now", "component").alias("component"))
 
@@ -316,6 +324,7 @@ def one_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     known = pairs.join(best, pairs["doc_id"].eqNullSafe(best["d"]) & (pairs["th"] == best["t"]), "left").where("best is null or n > 1")
     gone = written.put(known.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("best").isNotNull().alias("tie")))
     ties = written.put(gone.where("tie").select("d", "t"))
+    written.keep(gone, ties)
     hashable = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     least = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(*hashable)).alias("row")
     first = _of(docs, ties, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(least).select("row.*")

@@ -218,10 +218,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").where("text is not null").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    own = Written(docs.sparkSession).put(own.groupBy("text").agg(F.max("toxic").alias("toxic")))
+    written = Written(docs.sparkSession)
+    own = written.put(own.groupBy("text").agg(F.max("toxic").alias("toxic")))
     total = {bool(r[0]): r[1] for r in own.groupBy("toxic").count().collect()}
     n_toxic, n_clean = total.get(True, 0), total.get(False, 0)
     if not n_toxic or not n_clean:
+        written.keep()
         return Model({}, {})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,6 +246,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return pa.RecordBatch.from_pydict({"x": model.weigh(b.column("text")), "toxic": b.column("toxic").cast(pa.int32())})
 
     pairs = scan(own.withColumn("toxic", F.col("toxic").cast("int")), weigh, "x double, toxic int").collect()
+    written.keep()
     x, y = np.log1p(np.array([r[0] for r in pairs])), np.array([float(bool(r[1])) for r in pairs])
     w = np.zeros(2)
     z = np.column_stack([np.ones_like(x), x])
