@@ -35,7 +35,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("decontamination", drop_leaks), ("mixing", mix_domains), ("sharding", shard)]
-#: Learned scores and a fit by steps are not SQL; tests compare with a brute-force version.
+#: Learned scores and a fit by steps are not SQL; tests/llm/test_pipeline.py compares run() with plain Python of all stages.
 ORACLE_SQL = None
 
 
