@@ -13,29 +13,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def joined(rows: DataFrame, key: str, order: tuple[str, ...], text: Column, head: Column | None = None, gap: str = "\n") -> DataFrame:
-    """(doc_id, source): the head of each key and the texts of its rows, which null leaves out."""
+def joined(rows: DataFrame, key: str, order: tuple[str, ...], text: Column, head: Column | None = None, gap: str = "\n", dealt: bool = False) -> DataFrame:
+    """(doc_id, source): the head of each key and the texts of its rows, which null leaves out. dealt: rows of a key are
+    together already."""
     listed = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct(*order, text.alias("_text")))))
     own = [F.first(head).alias("_head")] if head is not None else []
-    # Parsing takes far longer than a text's size tells, so its partitions are stated rather than merged by size.
-    spark = rows.sparkSession
-    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
-    x = rows.groupBy(F.col(key).alias("doc_id")).agg(listed.alias("_x"), *own)
+    x = (rows if dealt else _dealt(rows, key)).groupBy(F.col(key).alias("doc_id")).agg(listed.alias("_x"), *own)
     body = F.transform("_x", lambda r: r["_text"])
     return x.select("doc_id", F.concat_ws(gap, *([F.col("_head")] if own else []), body).alias("source"))
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows by key. Parsing takes far longer than a text's size tells, so its partitions are stated rather than merged by size."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order with its line items, orders without any included."""
+    """Every order with its line items, orders without any included, each order's together: both tables move once."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINES, "l_quantity", "l_returnflag", "l_shipdate")
-    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return _dealt(orders, "o_orderkey").join(_dealt(lines, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
 
 
 def order_documents(spark: SparkSession, sf_dir: str, text: Column, gap: str = "\n") -> DataFrame:
     """# Order k and a text for each line item."""
     head = F.concat(F.lit("# Order "), F.col("o_orderkey").cast("string"))
-    return joined(order_lines(spark, sf_dir), "o_orderkey", LINES, F.when(F.col("l_orderkey").isNotNull(), text), head, gap)
+    return joined(order_lines(spark, sf_dir), "o_orderkey", LINES, F.when(F.col("l_orderkey").isNotNull(), text), head, gap, dealt=True)
 
 
 def line_heading() -> Column:

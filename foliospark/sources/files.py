@@ -2,31 +2,44 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a file at most; folder names that a walk skips beside hidden ones.
 MOST = 4 << 20
 SKIPPED = (".git",)
+#: Ignore files; of two in one folder the later one decides.
+IGNORE_FILES = (".gitignore", ".ignore")
 MARKDOWN = ("md", "markdown")
 
 
-def read_markdown(spark: SparkSession, folder: str, most: int | None = MOST) -> DataFrame:
+def read_markdown(spark: SparkSession, folder: str, most: int | None = MOST, ignore: bool = True) -> DataFrame:
     """(path, mtime, size, source) of the Markdown files below a folder that Spark can list, path relative to it.
 
-    Extensions count without case; hidden files and folders are left out; files over most bytes are dropped by their
-    length, so their content is never read. For ignore files, see walk.
+    Extensions count without case; files over most bytes are dropped by their length, so their content is never read.
+    With ignore, the ignore files at and below the folder hold as in Git: they are read once, and paths are held against
+    them where they are. Empty files, which Spark's reader leaves out, come from the same listing. Spark itself lists no
+    file and no folder whose name begins with a dot or an underscore, so a pattern can't bring those back here; walk can.
     """
     top = folder.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(_cases(MARKDOWN)) + "}").load(folder)
     plain = top.split(":", 1)[1].lstrip("/") if re.match(r"[a-z0-9]+:/", top) else top.lstrip("/")
     path = F.regexp_extract("path", r"\A(?:[a-z0-9]+:/*)?" + re.escape(plain) + r"(.*)\z", 1)
     files = files.select(path.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.col("content").alias("source"))
-    files = files.where(~F.col("path").rlike(r"(?:\A|/)\."))
+    rules, empty = _listed(spark, folder)
+    if empty:
+        more = spark.createDataFrame(empty, "path string, ms long").select("path", F.timestamp_millis("ms").alias("mtime"), F.lit(0).cast("long").alias("size"), F.lit(b"").alias("source"))
+        files = files.unionByName(more)
+    files = files.where(~F.col("path").rlike(r"(?:\A|/)[._]"))
+    if ignore and rules:
+        files = files.where(_kept(rules)(F.col("path")))
     return files if most is None else files.where(F.col("size") <= most)
 
 
@@ -94,6 +107,61 @@ class Ignore:
         return None
 
 
+def _listed(spark: SparkSession, folder: str) -> tuple[dict[str, list[str]], list[tuple[str, int]]]:
+    """The ignore files at and below a folder in any store that Spark reads: their texts by the folder they are in, relative
+    to folder; and the empty Markdown files with their times. One listing, and one small file at a time, on the driver."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, out, empty = fs.makeQualified(top).toUri().getPath().rstrip("/"), {}, []
+    found = fs.listFiles(top, True)
+    while found.hasNext():
+        status = found.next()
+        path = status.getPath()
+        name = path.getName()
+        if status.getLen() == 0 and "." in name and name.rpartition(".")[2].lower() in MARKDOWN:
+            empty.append((path.toUri().getPath().removeprefix(base).lstrip("/"), status.getModificationTime()))
+        elif name in IGNORE_FILES:
+            stream = fs.open(path)
+            try:
+                text = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode(errors="replace")
+            finally:
+                stream.close()
+            within = path.getParent().toUri().getPath().removeprefix(base).strip("/")
+            out.setdefault(within, []).append((IGNORE_FILES.index(name), text))
+    return {k: [t for _, t in sorted(v)] for k, v in out.items()}, empty
+
+
+def _kept(texts: dict[str, list[str]]):
+    """Whether each path is kept by the ignore files of the folders that it is in."""
+
+    def judge():
+        rules = {k: [Ignore(t) for t in v] for k, v in texts.items()}
+
+        def verdict(path: str, is_dir: bool) -> bool | None:
+            at = path
+            while at:
+                at = at.rpartition("/")[0]
+                for r in reversed(rules.get(at, ())):
+                    if (v := r.verdict(path[len(at) + 1 :] if at else path, is_dir)) is not None:
+                        return v
+            return None
+
+        @functools.lru_cache(100_000)
+        def open_(folder: str) -> bool:
+            return not folder or open_(folder.rpartition("/")[0]) and not verdict(folder, True)
+
+        return lambda path: open_(path.rpartition("/")[0]) and not verdict(path, False)
+
+    @F.pandas_udf("boolean")
+    def kept(x: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ok = judge()
+        for paths in x:
+            yield paths.map(ok)
+
+    return kept
+
+
 def walk(top: str | Path) -> tuple[list[tuple[str, int, int]], list[str], bool]:
     """(path, mtime in ns, size) of Markdown files below a local folder, notes, and whether the walk saw everything.
 
@@ -107,7 +175,7 @@ def walk(top: str | Path) -> tuple[list[tuple[str, int, int]], list[str], bool]:
     todo = [(top, inherited)]
     while todo:
         folder, rules = todo.pop()
-        own = [Ignore((folder / n).read_text(errors="replace")) for n in (".gitignore", ".ignore") if (folder / n).is_file()]
+        own = [Ignore((folder / n).read_text(errors="replace")) for n in IGNORE_FILES if (folder / n).is_file()]
         rules = [*rules, *((folder, r) for r in own)]
         try:
             entries = sorted(os.scandir(folder), key=lambda e: e.name)

@@ -129,3 +129,18 @@ def test_indexes_that_refresh_in_turn_keep_each_others_files(spark, tmp_path, mo
     monkeypatch.setattr(search, "STALE", -1)
     two.refresh(docs("d", b"A dim lamp.\n"), complete=False)
     assert not two.manifest["retired"] and two.search("lamp")["total"] == 3
+
+
+def test_tables_of_files_obey_ignore_files(spark, tmp_path):
+    tree = {
+        "a.md": "", "b.MD": "B", "draft.md": "x", "keep/draft.md": "k", "keep/x.md": "x", "out/x.md": "", "out/deep/y.md": "", "sub/out/z.md": "", "sub/z.md": "", "sub/only.md": "", "sub/deep/only.md": "", "sub/deep/z.md": "z", "t.txt": "",
+        ".gitignore": "draft.md\n/out/\n!keep/draft.md\n# note\n", "sub/.gitignore": "/only.md\nz.md\n", "sub/deep/.ignore": "!z.md\n", "keep/.ignore": "x.*\n",
+    }
+    for name, text in tree.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    want = [p for p, _, _ in files.walk(tmp_path)[0]]
+    assert want == ["a.md", "b.MD", "keep/draft.md", "sub/deep/only.md", "sub/deep/z.md"]
+    for folder in (str(tmp_path), f"file://{tmp_path}/"):
+        assert sorted(r.path for r in files.read_markdown(spark, folder).select("path").collect()) == want
+    assert files.read_markdown(spark, str(tmp_path), ignore=False).count() == 12
