@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stem import analyze, stem_column, tokens_column
 from .parse import units as units_of
+from .query import Tree, holding, is_plain, parse_query
 
 FORMAT = 2
 #: Hits by default and at most; bytes of a file at most; characters of a snippet; what the context adds to a score.
@@ -50,16 +52,29 @@ def ranked(found: DataFrame, stats: dict, terms: list[str]) -> DataFrame:
 
     found is filtered to the terms first, so that only their postings are shuffled. Equal scores are left to the caller.
     """
-    import math
-
-    idf = {t: math.log(1 + (stats["n"] - d + 0.5) / (d + 0.5)) for t in terms for d in [stats["df"].get(t, 0)]}
-    weight = F.coalesce(*(F.when(F.col("term") == t, F.lit(idf[t])) for t in terms))
-    gain = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(max(stats["avgdl"], 1e-9))))
+    gain = _gain(stats, terms)
     body, context = F.col("field") == "body", F.col("field") == "context"
     hits = found.where(F.col("term").isin(terms)).groupBy("path", "mdpath", "parent_list").agg(
         F.sum(F.when(body, gain)).alias("gain"), F.count(F.when(body, 1)).alias("n_body"), F.count(F.when(context, 1)).alias("n_context")
     )
-    hits = hits.where(F.col("n_body") == len(terms)).withColumn("score", F.col("gain") + F.when(F.col("n_context") == len(terms), BOOST).otherwise(0.0))
+    return _scored(hits.where(F.col("n_body") == len(terms)).withColumn("in_context", F.col("n_context") == len(terms)))
+
+
+def ranked_query(found: DataFrame, units: DataFrame, stats: dict, tree: Tree) -> DataFrame:
+    """As ranked, for a query that is more than words; a range adds nothing to a score."""
+    return _scored(holding(found, units, tree, _gain(stats, sorted({t for x in tree.leaves() for t in x.terms}))))
+
+
+def _gain(stats: dict, terms: list[str]) -> Column:
+    """What a posting adds to a score; nothing for other terms."""
+    idf = {t: math.log(1 + (stats["n"] - d + 0.5) / (d + 0.5)) for t in terms for d in [stats["df"].get(t, 0)]}
+    weight = F.coalesce(*(F.when(F.col("term") == t, F.lit(idf[t])) for t in terms), F.lit(0.0))
+    return weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(max(stats["avgdl"], 1e-9))))
+
+
+def _scored(hits: DataFrame) -> DataFrame:
+    """(path, mdpath, score) of hits, more where the context has all terms too, without lists one of whose items is a hit."""
+    hits = hits.withColumn("score", F.col("gain") + F.when(F.col("in_context"), BOOST).otherwise(0.0))
     lists = hits.where("parent_list is not null").select("path", F.col("parent_list").alias("mdpath")).distinct()
     return hits.join(lists, ["path", "mdpath"], "left_anti").select("path", "mdpath", "score")
 
@@ -253,18 +268,21 @@ class Index:
         reach the driver."""
         if not query.strip():
             raise ValueError("the query is empty")
-        terms = query_terms(query)
+        plain = is_plain(query)
+        tree = None if plain else parse_query(query)
+        terms = query_terms(query) if plain else sorted({t for x in tree.leaves() for t in x.terms}) if tree else []
         scope = F.col("path").startswith(prefix) if prefix else F.lit(True)
         found, units = self._live("postings").where(scope), self._live("units").where(scope)
         out: dict = {"version": 1, "query": query, "total": 0, "hits": []}
-        if terms:
-            hits = ranked(found, statistics(units, found, terms), terms)
+        if terms or tree:
+            stats = statistics(units, found, terms)
+            hits = ranked(found, stats, terms) if plain else ranked_query(found, units, stats, tree)
             out["total"] = hits.count()
             best = top(hits, limit).join(units.select("path", "mdpath", "bytes", "section_bytes", "snippet"), ["path", "mdpath"])
             for r in best.orderBy(F.desc("score"), "path", "mdpath").collect():
                 out["hits"].append({"path": r["path"], "mdpath": r["mdpath"], "bytes": r["bytes"], "section_bytes": r["section_bytes"], "score": r["score"], "snippet": snippet(r["snippet"] or "", set(terms))})
         if not out["hits"]:
-            words = simple_terms(query)
+            words = simple_terms(query) if plain else None
             counts = {r[0]: r[1] for r in term_counts(found, terms).collect()} if words and terms else {}
             out["term_counts"] = None if words is None else [{"term": w, "blocks": counts.get((analyze(w) or [""])[0], 0)} for w in words]
         return out

@@ -13,6 +13,7 @@ from ..functions import typed
 from ..functions.columns import columns
 from ..functions.patterns import Matcher
 from ..operators import parse, read, relational, search
+from ..operators.query import parse_query
 from . import rendered as r
 from .catalogue import _BARE, _HAS, _FLAGS, _ORDER, _SEQ, _L, by_document, query
 from .render import exit_status, human_report
@@ -327,6 +328,17 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return parse.per_document(docs, rows, columns("starts boolean, cut boolean, whole boolean"))
 
 
+# Search beyond words.
+
+
+@query("SELECT p_partkey::varchar AS path FROM part WHERE (p_name IN ('red bolt', 'hot ring') OR p_name LIKE 'cold %') AND p_name NOT LIKE '% gear'")
+def search_boolean(spark: SparkSession, d: str) -> DataFrame:
+    p = r.parts(spark, d)
+    u = p.select(F.col("p_partkey").cast("string").alias("path"), F.lit("$").alias("mdpath"), F.lit(None).cast("string").alias("parent_list"), F.col("p_name").alias("body"), F.lit("").alias("context"))
+    found, tree = search.postings(u), parse_query('("red bolt" OR "hot rings" OR [cold TO cold]) -gear')
+    return search.ranked_query(found, u, search.statistics(u, found, ["red", "bolt", "hot", "ring"]), tree).select("path")
+
+
 # Units and the index on disk.
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import typed
 from foliospark.operators import parse, read, relational, search
+from foliospark.operators.query import parse_query
 from foliospark.plans import catalogue, render
 from foliospark.plans.validate import operational_errors, summary, validate
 from foliospark.sources import files
@@ -144,3 +145,30 @@ def test_tables_of_files_obey_ignore_files(spark, tmp_path):
     for folder in (str(tmp_path), f"file://{tmp_path}/"):
         assert sorted(r.path for r in files.read_markdown(spark, folder).select("path").collect()) == want
     assert files.read_markdown(spark, str(tmp_path), ignore=False).count() == 12
+
+
+@pytest.mark.parametrize(
+    ("query", "found"),
+    [
+        ('"red bolt"', "a"), ('"bolt red"', "b"), ("red OR zebra", "abcd"), ("red -bolt", "c"), ("(red OR zebra) NOT bolts", "cd"), ("+red bolt", "ab"), ("[ze TO zz]", "d"), ("[red TO zebra]", "abcd"), ("{red TO zebra}", "bcd"), ("[x TO *]", "d"),
+        ("-red", ""), ("NOT red OR zebra", "d"), ('"', ""), ('red AND "paint runs"', "c"), ("((red", "abc"), ("red ) zebra", ""), ('"red zebra" OR "the"', "bd"), ("{zebra TO *]", ""),
+    ],
+)
+def test_queries_beyond_words(spark, query, found):
+    units = [("a", "red bolt"), ("b", "The bolt, red rust"), ("c", "red paint runs"), ("d", "zebra the")]
+    u = spark.createDataFrame([(p, "$", None, b, "") for p, b in units], "path string, mdpath string, parent_list string, body string, context string")
+    tree = parse_query(query)
+    if tree is None:
+        assert found == ""
+        return
+    p = search.postings(u)
+    hits = search.ranked_query(p, u, search.statistics(u, p, sorted({t for x in tree.leaves() for t in x.terms})), tree)
+    assert "".join(sorted(r.path for r in hits.collect())) == found
+
+
+def test_plain_words_score_alike(spark):
+    u = spark.createDataFrame([(str(i), "$", None, f"red bolt {'x ' * i}", "red bolt" if i % 2 else "") for i in range(6)], "path string, mdpath string, parent_list string, body string, context string")
+    p = search.postings(u)
+    stats = search.statistics(u, p, ["bolt", "red"])
+    one, two = ({r.path: round(r.score, 9) for r in x.collect()} for x in (search.ranked(p, stats, ["bolt", "red"]), search.ranked_query(p, u, stats, parse_query("+red +bolt"))))
+    assert one == two and len(one) == 6
