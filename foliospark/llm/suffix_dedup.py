@@ -1,9 +1,11 @@
-"""Removal of repeated byte strings: a suffix array by linear grouping for bounded texts, and an exact distributed pass.
+"""Removal of repeated byte strings: suffix arrays by linear grouping, within groups of surroundings that can repeat.
 
 The suffix array is built in two phases: groups of suffixes with a common Lyndon prefix are processed in descending
-order by pointers to previous smaller groups, then each group's order is emitted. In Python it takes microseconds a
-byte, far over what a corpus allows (the README has figures); over a corpus, repeated strings are found by contexts of
-content-chosen anchors, counted in the cluster, with the same results.
+order by pointers to previous smaller groups, then each group's order is emitted. One array over a corpus would have to be
+built in one place, and in Python takes microseconds a symbol. So content-chosen anchors deal strings out: equal strings
+have equal anchors at equal places. Surroundings of anchors that repeat as a whole are counted; of those that differ, the
+blocks of 32 bytes are the symbols of a suffix array, in which runs of equal blocks are neighbours, and the bytes around
+such runs are compared. The result is that of one array over all bytes.
 """
 
 from __future__ import annotations
