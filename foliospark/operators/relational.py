@@ -90,12 +90,10 @@ def _assign_exact(fits: DataFrame, scope: list[str], low: list[int], high: list[
     x = fits.withColumn("rule", F.when(one >= 0, one.cast("int")))
     w = Window.partitionBy(*scope)
     back = F.col("rule") < F.lag("rule").over(w.orderBy("node_id"))
-    bad = F.max(F.coalesce(F.col("rule").isNull() | back, F.lit(False)))
     counts = [F.sum((F.coalesce("rule", F.lit(-1)) == j).cast("int")).over(w) for j in range(len(low))]
     within = functools.reduce(operator.and_, [(c >= a) & (c <= b if b is not None else F.lit(True)) for c, a, b in zip(counts, low, high, strict=True)], F.lit(True))
     x = x.withColumn("_back", F.coalesce(F.col("rule").isNull() | back, F.lit(False))).withColumn("_within", within)
     x = x.withColumn("accepted", F.col("_within") & ~F.max("_back").over(w)).drop("_back", "_within")
-    del bad
     rest = _gathered(x.where("not accepted").drop("rule", "accepted"), scope, low, high, wild)
     return x.where("accepted").drop("fits").unionByName(rest)
 
