@@ -91,7 +91,7 @@ R = T + "sections:\n- match: A\n"
         ("version: 1\ntitle: x\ncontent:\n- {block: p, one_of: []}\n", ["invalid-content-rule"]),
         ("version: 1\ntitle: x\ncontent:\n- {block: quote}\n", ["invalid-content-rule"]),
         (R + "constraints:\n- any_of: [a, b]\n", ["unresolved-ref"]),
-        (R + "constraints:\n- any_of: [a, $.a]\n- any_of: [a]\n", ["invalid-document-shape"]),
+        (R + "constraints:\n- any_of: [a, $.a]\n- any_of: [a]\n", ["duplicate-ref", "invalid-document-shape"]),
         (R + "constraints:\n- requires: {if: a, then: a}\n", ["duplicate-ref"]),
         (R + "- match: B\nconstraints:\n- ordered: [a, b]\n", ["ordered-scope-mismatch"]),
         ("version: 1\ntitle: x\nfrontmatter: {required: true, allow: false}\n", ["conflicting-frontmatter"]),
