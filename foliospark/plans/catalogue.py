@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -21,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "cardinality_missing"
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_KEPT: list[DataFrame] = []
 
 #: Line items with their order, as every document of line headings has them.
 _L = "(SELECT o_orderkey AS doc_id, l.* FROM orders LEFT JOIN lineitem l ON o_orderkey = l_orderkey)"
@@ -29,11 +31,17 @@ _SEQ = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenum
 
 def query(sql: str | None = None, name: str | None = None):
     def put(fn: Query) -> Query:
+        @functools.wraps(fn)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            while _KEPT:
+                _KEPT.pop().unpersist()
+            return fn(spark, d)
+
         key = name or fn.__name__
-        _QUERIES[key] = fn
+        _QUERIES[key] = run
         if sql:
             _SQL[key] = sql
-        return fn
+        return run
 
     return put
 
@@ -44,8 +52,10 @@ def by_document(found: DataFrame, *columns: str) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A node table that a plan reads more than once: parsed once, on disk where memory ends, parsed again if an executor goes."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """A node table that a plan reads more than once: parsed once, on disk where memory ends, parsed again if an executor goes.
+    It is let go when the next query begins; a result that still needs it then parses again."""
+    _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _KEPT[-1]
 
 
 # Parsing and structure.
