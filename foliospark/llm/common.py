@@ -143,7 +143,8 @@ def components(spark: SparkSession, links: DataFrame, written: Written | None =
     """Connected components of links (a, b: equal types, no nulls): rows (id, component), the smallest id reachable.
 
     Alternates the large-star and small-star steps, so that rounds grow with the logarithm of the longest path
-    and no node gathers its neighbours in one row; each round is written and the one before is dropped.
+    and no node gathers its neighbours in one row; each round is written and the one before is dropped. It ends when each
+    node is linked with one smaller node, and none of those with another: counts that are summed before they move tell.
     """
     written = written or Written(spark)
 
@@ -152,7 +153,9 @@ def components(spark: SparkSession, links: DataFrame, written: Written | None =
             both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             both = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        # Written, so that Spark can split the rows of a much linked node in the join, or send a small table to all tasks.
+        low = written.put(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")))
+        lows.append(low)
         joined = both.join(low, "a")
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -160,14 +163,17 @@ def components(spark: SparkSession, links: DataFrame, written: Written | None =
             out = joined.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.where("a <> low").select("a", F.col("low").alias("b")))
         return out.where("a <> b").distinct()
 
+    def settled(e: DataFrame) -> bool:
+        down = e.select(F.col("a").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up"), (F.col("b") > F.col("a")).alias("wrong"))
+        up = e.select(F.col("b").alias("id"), F.lit(0).alias("down"), F.lit(1).alias("up"), F.lit(False).alias("wrong"))
+        each = down.unionByName(up).groupBy("id").agg(F.sum("down").alias("down"), F.sum("up").alias("up"), F.max("wrong").alias("wrong"))
+        return each.where("down > 1 or down > 0 and up > 0 or wrong").isEmpty()
+
     now = written.put(links.select("a", "b").where("a <> b").distinct())
-    mark = None
-    while True:
+    while not settled(now):
+        lows: list[DataFrame] = []
         nxt = written.put(star(star(now, True), False))
-        found = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        written.drop(now)
+        for x in (now, *lows):
+            written.drop(x)
         now = nxt
-        if tuple(found) == mark:
-            break
-        mark = tuple(found)
     return now.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -197,12 +197,15 @@ def labelled(docs: DataFrame, written: Written, shingle: int, percent: int) -> t
     found = docs.sparkSession.createDataFrame([], "id binary, component binary")
     for turn in range(TURNS + 1):
         # Buckets whose nodes are all linked already have nothing to add.
-        split = members.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "value")
+        split = written.put(members.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "value"))
         members = members.join(split, ["band", "value"])
         if turn:
             members = written.put(members)
             written.drop(base)
+            written.drop(split)
             base = members
+            if members.isEmpty():
+                break
         pairs = written.put((stars(members, turn) if turn < TURNS else across(members, reps, known, percent)).distinct())
         more, before = known.confirm(pairs, STARS if turn < TURNS else None), found
         found = written.put(merged(docs.sparkSession, found, more, written))
@@ -251,7 +254,7 @@ def across(members: DataFrame, reps: DataFrame, known: Links, percent: int) -> D
     few = members.where(F.col("n") <= SMALL).select("band", "value", "set_key", "component")
     pairs = few.toDF("band", "value", "a", "ca").join(few.toDF("band", "value", "b", "cb"), ["band", "value"]).where("a < b and ca <> cb").select("a", "b")
     large = members.where(F.col("n") > SMALL)
-    sizes = large.groupBy("band", "value", "component").agg(F.count("*").alias("k")).groupBy("band", "value").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("all"))
+    sizes = known.written.put(large.groupBy("band", "value", "component").agg(F.count("*").alias("k")).groupBy("band", "value").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("all")))
     # What a node carries is put together once for each node, not once for each of its buckets.
     keys = large.select("set_key").distinct()
     nodes = known.written.put(known.lowest(keys).join(reps.select("set_key", "n_shingles", "bands"), "set_key"))

@@ -311,6 +311,19 @@ def test_components(spark):
     assert all(got.get(i, i) == 0 for i in range(31)) and got[50] == got[60] == 40
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_components_of_random_links(spark, seed):
+    g = np.random.default_rng(seed)
+    links = [(int(a), int(b)) for a, b in g.integers(0, 60, (int(g.integers(1, 60)), 2))]
+    root = list(range(60))
+    for a, b in links:
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    got = dict(map(tuple, components(spark, spark.createDataFrame(links, "a bigint, b bigint")).collect()))
+    assert got == {i: r for i, r in enumerate(root) if i != r}
+    assert components(spark, spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 # Fingerprints.
 
 
