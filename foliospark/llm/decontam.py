@@ -220,11 +220,15 @@ def hits(column: pa.Array, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.nda
         names = {tests.ids[tests.item[i]] for i in suffixes}
         for d in np.unique(doc[places]).tolist():
             items[d] |= names
-        for i in suffixes:
+        spelled = sorted((tests.ids[tests.item[i]], int(i - own[tests.item[i]]), i) for i in suffixes)
+        most, which = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
+        for k, (_, _, i) in enumerate(spelled):  # of equally long matches that of the last item by name
             _, same = shard._before(tests.words, np.full(b - a, i), shard.sa[a:b], np.full(b - a, tests.left[i]))
-            for p, m in zip(places.tolist(), same.tolist(), strict=True):
-                d = int(doc[p])
-                best[d] = max(best[d], (m, tests.ids[tests.item[i]], int(i - own[tests.item[i]]), int(p - first[d])))
+            which[same >= most] = k
+            most = np.maximum(most, same)
+        for p, m, k in zip(places.tolist(), most.tolist(), which.tolist(), strict=True):
+            d = int(doc[p])
+            best[d] = max(best[d], (m, *spelled[k][:2], int(p - first[d])))
     return doc, np.cumsum(edge[:-1]) > 0, first, items, best
 
 
