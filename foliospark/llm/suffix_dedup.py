@@ -28,6 +28,8 @@ from .decontam import _mixed
 LENGTH, GRAM, BLOCK = 400, 32, 32
 #: Different surroundings of the same anchor that one task compares at once, and of them rows that the driver sees to sort more.
 GROUP, SAMPLE = 4096, 20_000
+#: Contexts that a task holds in memory at once, about, where groups are small.
+AT_ONCE = 1024
 #: Bytes hashed at once in a task.
 PIECE = 2 << 20
 
@@ -320,14 +322,14 @@ def _stretches(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _compared(contexts: DataFrame, length: int) -> DataFrame:
     """Stretches of lone anchors that other anchors of the same bytes repeat. Anchors of the same bytes meet in one task, GROUP
-    at most; many such groups are compared at once."""
+    at most; small groups are compared together, about AT_ONCE contexts of them."""
     reach = length - GRAM
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for b in batches:
+        for b in (x.slice(i, AT_ONCE) for x in batches for i in range(0, x.num_rows, AT_ONCE)):
             held.append(b)
-            if sum(x.num_rows for x in held) < GROUP:
+            if sum(x.num_rows for x in held) < AT_ONCE:
                 continue
             t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             g = t.column("g").to_numpy()
@@ -526,10 +528,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, written: Written | None = Non
     sure = written.put(sure)
     written.tidy()
     lone = F.col("k") == 1
-    by_g = by_u.groupBy("g").agg(F.count("*").alias("kinds"), F.count(F.when(lone, 1)).alias("lone")).where("kinds > 1 and lone > 0").select("g", "kinds")
+    # Written, so that the join reads both sides from shuffles of their own and Spark can split a common anchor's rows.
+    by_g = written.put(by_u.groupBy("g").agg(F.count("*").alias("kinds"), F.count(F.when(lone, 1)).alias("lone")).where("kinds > 1 and lone > 0").select("g", "kinds"))
     wanted = written.put(by_u.join(by_g, "g").select("x.doc_id", "x.th", "x.pos", "g", "kinds", lone.alias("lone")))
-    written.drop(found)
-    written.drop(by_u)
+    for x in (found, by_u, by_g):
+        written.drop(x)
     near = written.put(_compared(_contexts(docs, wanted.where(F.col("kinds") <= GROUP), length), length))
     written.tidy()
     out = sure.unionByName(near)
