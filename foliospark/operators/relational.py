@@ -35,18 +35,19 @@ def nest(headings: DataFrame) -> DataFrame:
 
 def skipped_levels(nodes: DataFrame, base: Column | int = 0) -> DataFrame:
     """Sections more than one level under their parent, the root standing at base; no scope or guard matters."""
-    above = nodes.select("doc_id", F.col("node_id").alias("_p"), F.when(F.col("kind") == "section", F.col("level")).otherwise(F.lit(base) if isinstance(base, int) else base).alias("_above"))
-    s = nodes.where("kind = 'section'")
-    return s.join(above, (s.doc_id == above.doc_id) & (s.parent_id == above._p)).where(F.col("level") > F.col("_above") + 1).select(s["*"])
+    return nodes.where((F.col("kind") == "section") & (F.col("level") > F.coalesce("above", F.lit(base) if isinstance(base, int) else base) + 1))
 
 
 def admitted(nodes: DataFrame, base: int = 0, skips: bool = False) -> DataFrame:
     """Sections that may take part in their parent's rules."""
     if skips:
         return nodes.where("kind = 'section'")
-    above = nodes.select("doc_id", F.col("node_id").alias("_p"), F.when(F.col("kind") == "section", F.col("level")).otherwise(F.lit(base)).alias("_above"))
-    s = nodes.where("kind = 'section'")
-    return s.join(above, (s.doc_id == above.doc_id) & (s.parent_id == above._p)).where(F.col("level") <= F.col("_above") + 1).select(s["*"])
+    return nodes.where(may_take_part(base))
+
+
+def may_take_part(base: int = 0) -> Column:
+    """Whether a node is a section at most one level under what it lies in, the root standing at base."""
+    return (F.col("kind") == "section") & (F.col("level") <= F.coalesce("above", F.lit(base)) + 1)
 
 
 def _first(matchers: list[Matcher], text: Column) -> Column:

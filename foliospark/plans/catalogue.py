@@ -63,20 +63,20 @@ def kept(df: DataFrame) -> DataFrame:
 
 @query(f"SELECT doc_id, count(l_orderkey) AS n_sections, (count(*) FILTER (WHERE l_orderkey IS NOT NULL) > 0)::int + 1 AS depth FROM {_L} GROUP BY doc_id")
 def parse_sections(spark: SparkSession, d: str) -> DataFrame:
-    n = parse.nodes(r.order_documents(spark, d, r.line_heading()))
+    n = parse.nodes(r.order_documents(spark, d, r.line_heading()), fields=["kind", "level", "depth"])
     return n.groupBy("doc_id").agg(F.count(F.when((F.col("kind") == "section") & (F.col("level") == 2), 1)).alias("n_sections"), F.max("depth").alias("depth"))
 
 
 @query(f"SELECT doc_id, count(*) AS n FROM {_L} WHERE l_quantity > 25 GROUP BY doc_id")
 def skipped_levels(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.when(F.col("l_quantity") > 25, "#### ").otherwise("## "), F.col("l_linenumber").cast("string"))
-    return relational.skipped_levels(kept(parse.nodes(r.order_documents(spark, d, text)))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return relational.skipped_levels(parse.nodes(r.order_documents(spark, d, text), fields=["kind", "level", "above"])).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, 'skipped-level' AS id, count(*) AS n FROM {_L} WHERE l_quantity > 25 GROUP BY doc_id")
 def skipped_levels_checked(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.when(F.col("l_quantity") > 25, "#### ").otherwise("## "), F.col("l_linenumber").cast("string"))
-    return by_document(validate(r.order_documents(spark, d, text), 'version: 1\ntitle: "*"\n'))
+    return by_document(validate(r.order_documents(spark, d, text), 'version: 1\ntitle: "*"\n', fields=["id"]))
 
 
 @query("""SELECT l_orderkey AS doc_id, rn::int AS node_id, (CASE WHEN lv = 1 THEN 0 ELSE coalesce(greatest(

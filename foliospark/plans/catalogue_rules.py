@@ -144,10 +144,8 @@ def exact_match_case(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT doc_id, count(*) FILTER (WHERE l_quantity <= 25) AS strict, count(*) FILTER (WHERE l_orderkey IS NOT NULL) AS loose, count(*) FILTER (WHERE l_quantity > 25) AS skipped FROM {_L} GROUP BY doc_id HAVING count(l_orderkey) > 0")
 def level_admission(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.when(F.col("l_quantity") > 25, "\n# Top\n\n### ").otherwise("\n# Top\n\n## "), F.col("l_linenumber").cast("string"))
-    n = parse.nodes(r.order_documents(spark, d, text)).where("level <> 1 or text <> concat('Order ', doc_id)")
-    every = n.where("kind = 'section' and level > 1").groupBy("doc_id").agg(F.count("*").alias("loose"))
-    strict = relational.admitted(n).where("level > 1").groupBy("doc_id").agg(F.count("*").alias("strict"))
-    out = every.join(strict, "doc_id", "left").select("doc_id", F.coalesce("strict", F.lit(0).cast("bigint")).alias("strict"), "loose")
+    n = parse.nodes(r.order_documents(spark, d, text), fields=["kind", "level", "above"]).where("kind = 'section' and level > 1")
+    out = n.groupBy("doc_id").agg(F.count_if(relational.may_take_part()).alias("strict"), F.count("*").alias("loose"))
     return out.withColumn("skipped", F.col("loose") - F.col("strict"))
 
 

@@ -25,8 +25,11 @@ def joined(rows: DataFrame, key: str, order: tuple[str, ...], text: Column, head
 
 def _dealt(rows: DataFrame, key: str) -> DataFrame:
     """rows by key. Parsing takes far longer than a text's size tells, so its partitions are stated rather than merged by size."""
-    spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+    return rows.repartition(_width(rows.sparkSession), key)
+
+
+def _width(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,17 +54,22 @@ def flag_heading() -> Column:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part, spread."""
+    return spread(_parts(spark, sf_dir))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_type")
 
 
 def brand_documents(spark: SparkSession, sf_dir: str, text: Column, head: Column | None = None, gap: str = "\n") -> DataFrame:
-    return joined(parts(spark, sf_dir), "p_brand", ("p_partkey",), text, head, gap)
+    return joined(_parts(spark, sf_dir), "p_brand", ("p_partkey",), text, head, gap)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores at least: a small file is one partition, however long its rows take to parse."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df dealt out row by row: the rows of a file lie in as many partitions as it has row groups, whatever its size and number of
+    partitions, and take far longer to parse than their size tells."""
+    return df.repartition(_width(df.sparkSession))
 
 
 def event_documents(spark: SparkSession, sf_dir: str, *lines: Column) -> DataFrame:
