@@ -349,10 +349,10 @@ def fm_jsonpath(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id AS doc_id, CASE event_id % 3 WHEN 0 THEN 'invalid-frontmatter' ELSE 'missing-frontmatter' END AS id FROM events WHERE event_id % 3 < 2")
 def fm_states(spark: SparkSession, d: str) -> DataFrame:
-    e = r.table(spark, d, "events").select("event_id")
+    e = r.spread(r.table(spark, d, "events").select("event_id"))
     m = F.col("event_id") % 3
     docs = e.select(F.col("event_id").alias("doc_id"), F.when(m == 0, "---\n- 1\n---\n## Body").when(m == 1, "## Body").otherwise("---\na: 1\n---\n## Body").alias("source"))
-    return validate(docs, _BARE + "frontmatter: {required: true}\n").select("doc_id", "id")
+    return validate(docs, _BARE + "frontmatter: {required: true}\n", fields=["id"]).select("doc_id", "id")
 
 
 # Constraints.

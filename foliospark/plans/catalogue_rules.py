@@ -241,8 +241,8 @@ def tagged_scalars(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id") % 4
     value = F.when(k == 0, F.concat(F.lit('!!int "'), "k", F.lit('"'))).when(k == 1, F.concat(F.lit("!!str "), "k")).when(k == 2, F.concat(F.lit("!!float "), "k")).otherwise(F.repeat(F.lit("["), 200))
     docs = r.event_documents(spark, d, F.concat(F.lit("v: "), value))
-    values = parse.front_values(docs).where("pointer = '/v'").select("doc_id", "kind")
-    found = validate(docs, _BARE).select("doc_id", "id")
+    values = parse.front_values(docs, fields=["pointer", "kind"]).where("pointer = '/v'").select("doc_id", "kind")
+    found = validate(docs, _BARE, fields=["id"]).select("doc_id", "id")
     return docs.select("doc_id").join(values, "doc_id", "left").join(found, "doc_id", "left").select("doc_id", "kind", "id")
 
 
