@@ -192,7 +192,7 @@ def item_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey AS doc_id, ord::int AS ord, ord::bigint AS place FROM part, range(13) AS u(ord) WHERE p_partkey % 2 = 0")
 def item_positions_in_order(spark: SparkSession, d: str) -> DataFrame:
     docs = _forms(spark, d, ["# T\n\n" + "- NAME\n" * 13, "# T\n\n- a\n"])
-    found = validate(docs, "version: 1\ntitle: T\ncontent:\n- block: list\n  items:\n  - {match: a, required: false}\n").where("id = 'unexpected-item'")
+    found = validate(docs, "version: 1\ntitle: T\ncontent:\n- block: list\n  items:\n  - {match: a, required: false}\n", fields=["ord", "id", "target"]).where("id = 'unexpected-item'")
     return found.select("doc_id", "ord", F.get_json_object("target", "$.index").cast("bigint").alias("place"))
 
 
