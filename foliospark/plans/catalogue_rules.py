@@ -226,7 +226,7 @@ def results_met_once(spark: SparkSession, d: str) -> DataFrame:
 def schema_errors_by_pointer(spark: SparkSession, d: str) -> DataFrame:
     docs = r.event_documents(spark, d, F.lit("b: [x, y]"), F.concat(F.lit("a: "), "k"))
     schema = _BARE + "frontmatter:\n  schema:\n    properties:\n      b: {items: {type: integer}}\n      a: {type: string}\n"
-    found = validate(docs, schema).select("doc_id", F.get_json_object("target", "$.pointer").alias("pointer"), "line", "ord")
+    found = validate(docs, schema, fields=["target"]).select("doc_id", F.get_json_object("target", "$.pointer").alias("pointer"))
     return found.select("doc_id", F.row_number().over(_window("doc_id", "pointer")).cast("int").alias("o"), "pointer").select("doc_id", (F.col("o") - 1).alias("ord"), "pointer")
 
 
