@@ -344,7 +344,7 @@ def fm_json_schema(spark: SparkSession, d: str) -> DataFrame:
 def fm_jsonpath(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("k").cast("long")
     docs = r.event_documents(spark, d, F.concat(F.lit("tags: [a"), (k % 3).cast("string"), F.lit(", {x: "), (k % 5).cast("string"), F.lit("}]")))
-    return validate(docs, _BARE + "constraints:\n- any_of: ['fm[$.tags[*]]=a1', 'fm[$.tags[-1].x]=4']\n").select("doc_id", "id")
+    return validate(docs, _BARE + "constraints:\n- any_of: ['fm[$.tags[*]]=a1', 'fm[$.tags[-1].x]=4']\n", fields=["id"]).select("doc_id", "id")
 
 
 @query("SELECT event_id AS doc_id, CASE event_id % 3 WHEN 0 THEN 'invalid-frontmatter' ELSE 'missing-frontmatter' END AS id FROM events WHERE event_id % 3 < 2")

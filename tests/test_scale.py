@@ -11,6 +11,7 @@ from foliospark.sources import yaml12
 
 #: The passes over documents that each query's plan has, by what they give beside the key.
 PASSES = {
+    "fm_jsonpath": ["id"],
     "schema_errors_by_pointer": ["target"],
     "item_positions_in_order": ["ord id target"],
     "tagged_scalars": ["pointer kind", "id"],
