@@ -17,7 +17,7 @@ from ..operators.query import parse_query
 from . import rendered as r
 from .catalogue import _BARE, _HAS, _FLAGS, _ORDER, _SEQ, _L, by_document, query
 from .render import exit_status, human_report
-from .validate import schema_errors, validate
+from .validate import schema_errors, validate, validate_each
 
 _HEAD = "version: 1\ntitle: NAME\n"
 _ONE = _HEAD + "sections:\n- {match: NAME, id: a, required: false}\n"
@@ -154,9 +154,10 @@ def skipped_levels_allowed(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.when(F.col("l_quantity") > 25, "#### Deep ").otherwise("## Flat "), F.col("l_linenumber").cast("string"))
     docs = r.order_documents(spark, d, text)
     rules = 'unordered: true\nsections:\n- {match: "Flat *", repeat: "0..n", sections: [{match: "Deep *", repeat: "0..n"}]}\n- {match: "Deep *", repeat: "0..n"}\n'
-    strict = validate(docs, _ORDER + rules).where("id = 'skipped-level'").groupBy("doc_id").agg(F.count("*").alias("strict"))
-    loose = validate(docs, _ORDER + "options: {allow_skipped_levels: true}\n" + rules).groupBy("doc_id").agg(F.count("*").alias("loose"))
-    return strict.join(loose, "doc_id", "full").select("doc_id", "strict", F.coalesce("loose", F.lit(0).cast("bigint")).alias("loose"))
+    schemas = {"strict": _ORDER + rules, "loose": _ORDER + "options: {allow_skipped_levels: true}\n" + rules}
+    found = validate_each(docs, schemas, ["schema", "id"]).where("schema = 'loose' or id = 'skipped-level'")
+    out = found.groupBy("doc_id").agg(F.count_if(F.col("schema") == "strict").alias("strict"), F.count_if(F.col("schema") == "loose").alias("loose"))
+    return out.select("doc_id", F.expr("nullif(strict, 0)").alias("strict"), "loose")
 
 
 @query("SELECT p_partkey AS doc_id, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN '/' || p_name || '/' ELSE '*' END AS label FROM part")
