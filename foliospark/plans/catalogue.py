@@ -314,7 +314,7 @@ def fm_missing_required(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT event_id AS doc_id, 'one_of' AS id, 'document' AS kind FROM events WHERE (event_type = 'click')::int + ({_K} < 50 AND {_K} = 10)::int + ({_K} = 20)::int <> 1")
 def fm_equality(spark: SparkSession, d: str) -> DataFrame:
     docs = r.event_documents(spark, d, F.concat(F.lit("type: "), "event_type"), F.concat(F.lit("k: "), "k"))
-    found = validate(docs, _BARE + "constraints:\n- one_of: ['fm[$.type]=Click', 'fm[$.k]=10', \"fm[$['k']]=0x14\"]\n")
+    found = validate(docs, _BARE + "constraints:\n- one_of: ['fm[$.type]=Click', 'fm[$.k]=10', \"fm[$['k']]=0x14\"]\n", fields=["id", "target"])
     return found.select("doc_id", "id", F.get_json_object("target", "$.kind").alias("kind"))
 
 
