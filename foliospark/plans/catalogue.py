@@ -420,15 +420,15 @@ def inline_suppression(spark: SparkSession, d: str) -> DataFrame:
     off = F.when(F.col("l_linenumber") % 2 == 0, "<!-- folio-disable unexpected-section -->\n").otherwise("")
     every = F.when(F.col("l_orderkey") % 5 == 0, "<!-- folio-disable-file skipped-level, unexpected-section -->\n").otherwise("")
     docs = r.order_documents(spark, d, F.concat(F.lit("\n"), every, off, r.line_heading()))
-    return validate(docs, _ORDER + "sections: []\n").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return validate(docs, _ORDER + "sections: []\n", fields=["id"]).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT o_orderkey AS doc_id, 'missing-title' AS id, 1::bigint AS line FROM orders WHERE o_orderkey % 4 = 0
 UNION ALL SELECT o_orderkey, 'not-allowed', 1 FROM orders WHERE o_orderkey % 4 = 2 UNION ALL SELECT o_orderkey, 'too-many-sections', 2 FROM orders WHERE o_orderkey % 4 = 3""")
 def titles(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey") % 4
-    docs = r.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(k == 0, "## Body").when(k == 1, "# Order\n## Body").when(k == 2, "# Other\n## Body").otherwise("# Order\n# Order\n## Body").alias("source"))
-    return validate(docs, "version: 1\ntitle: Order\n").select("doc_id", "id", "line")
+    docs = r.spread(r.table(spark, d, "orders").select("o_orderkey")).select(F.col("o_orderkey").alias("doc_id"), F.when(k == 0, "## Body").when(k == 1, "# Order\n## Body").when(k == 2, "# Other\n## Body").otherwise("# Order\n# Order\n## Body").alias("source"))
+    return validate(docs, "version: 1\ntitle: Order\n", fields=["id", "line"]).select("doc_id", "id", "line")
 
 
 @query(f"SELECT l_orderkey AS doc_id, (rn - 1)::int AS ord, (rn + 1)::bigint AS line, 4::bigint AS width FROM {_SEQ} s")
@@ -448,7 +448,7 @@ def json_results(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(DISTINCT o_orderkey) AS files, count(DISTINCT o_orderkey) AS documents, 0::bigint AS schemas, count(l_orderkey) AS diagnostics FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey")
 def run_summary(spark: SparkSession, d: str) -> DataFrame:
     docs = r.order_documents(spark, d, r.flag_heading())
-    return summary(validate(docs, _ORDER + "sections: []\n"), docs)
+    return summary(validate(docs, _ORDER + "sections: []\n", fields=["id"]), docs)
 
 
 # Paths and reading.

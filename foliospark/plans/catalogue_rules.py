@@ -254,19 +254,19 @@ def tagged_scalars(spark: SparkSession, d: str) -> DataFrame:
 def general_root(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("# "), F.col("l_returnflag"))
     docs = r.joined(r.order_lines(spark, d), "o_orderkey", r.LINES, F.when(F.col("l_orderkey").isNotNull(), text), dealt=True)
-    return by_document(validate(docs, "version: 1\nunordered: true\noutline:\n- {match: A, repeat: '1..n'}\n- {match: N, repeat: '0..n'}\n"))
+    return by_document(validate(docs, "version: 1\nunordered: true\noutline:\n- {match: A, repeat: '1..n'}\n- {match: N, repeat: '0..n'}\n", fields=["id"]))
 
 
 @query(f"SELECT doc_id, na + nn AS involved, 2::bigint AS refs FROM (SELECT doc_id, count(*) FILTER (WHERE l_returnflag = 'A') AS na, count(*) FILTER (WHERE l_returnflag = 'N') AS nn FROM {_L} GROUP BY 1) WHERE na > 0 AND nn > 0")
 def involved_headers(spark: SparkSession, d: str) -> DataFrame:
-    found = validate(r.order_documents(spark, d, r.flag_heading()), _ORDER + "unordered: true\n" + _FLAGS + "constraints:\n- at_most_one: [a, n]\n")
+    found = validate(r.order_documents(spark, d, r.flag_heading()), _ORDER + "unordered: true\n" + _FLAGS + "constraints:\n- at_most_one: [a, n]\n", fields=["involved", "refs"])
     return found.select("doc_id", F.size("involved").cast("long").alias("involved"), F.size("refs").cast("long").alias("refs"))
 
 
 @query(f"SELECT doc_id, exit::int AS status, lines FROM (SELECT doc_id, CASE WHEN count(l_orderkey) > 0 THEN 1 ELSE 0 END AS exit, count(l_orderkey) AS lines FROM {_L} GROUP BY doc_id)")
 def reports_and_status(spark: SparkSession, d: str) -> DataFrame:
     docs = r.order_documents(spark, d, r.flag_heading())
-    each = validate(docs, _ORDER + "sections: []\n").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "line", "col", "id", "message"))).alias("x"))
+    each = validate(docs, _ORDER + "sections: []\n", fields=["ord", "line", "col", "id", "message"]).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "line", "col", "id", "message"))).alias("x"))
 
     @F.pandas_udf("long")
     def lines(x):
