@@ -213,7 +213,7 @@ def capture_truth(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("k").cast("long") % 3
     docs = r.event_documents(spark, d, F.concat(F.lit("on: "), F.when(k == 0, "true").when(k == 1, "false").otherwise("maybe")))
     schema = _BARE + "frontmatter:\n  captures:\n    switch: {type: bool, path: $.on}\nconstraints:\n- any_of: [fm.switch, 'fm[$.none]']\n"
-    return validate(docs, schema).select("doc_id", "id")
+    return validate(docs, schema, fields=["id"]).select("doc_id", "id")
 
 
 @query("SELECT event_id AS doc_id, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1")
