@@ -170,7 +170,7 @@ def matcher_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _content(spark: SparkSession, d: str, forms: list[str], schema: str) -> DataFrame:
-    return by_document(validate(_forms(spark, d, forms), "version: 1\ntitle: '*'\n" + schema))
+    return by_document(validate(_forms(spark, d, forms), "version: 1\ntitle: '*'\n" + schema, fields=["id"]))
 
 
 @query("SELECT p_partkey AS doc_id, 'too-few-blocks' AS id, 1::bigint AS n FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, 'missing-block', 1 FROM part WHERE p_partkey % 3 = 0")
