@@ -322,7 +322,7 @@ def fm_equality(spark: SparkSession, d: str) -> DataFrame:
 def fm_bool_read(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id") % 4
     docs = r.event_documents(spark, d, F.concat(F.lit("flag: "), F.when(e == 0, "True").when(e == 1, "false").when(e == 2, "~").otherwise("yes")))
-    return validate(docs, _BARE + "constraints:\n- any_of: ['fm[$.flag]', 'fm[$.none]']\n").select("doc_id", "id")
+    return validate(docs, _BARE + "constraints:\n- any_of: ['fm[$.flag]', 'fm[$.none]']\n", fields=["id"]).select("doc_id", "id")
 
 
 @query(f"SELECT event_id AS doc_id, event_type = 'click' AS is_click, {_K} >= 50 AS holds FROM events")
