@@ -219,7 +219,7 @@ def capture_truth(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id AS doc_id, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1")
 def results_met_once(spark: SparkSession, d: str) -> DataFrame:
     docs = r.event_documents(spark, d, F.concat(F.lit("flag: "), F.when(F.col("event_id") % 2 == 0, "often").otherwise("true")))
-    found = validate(docs, _BARE + "constraints:\n- any_of: [\"fm[$['flag','flag','flag']]\", 'fm[$.none]']\n").where("id = 'invalid-value'")
+    found = validate(docs, _BARE + "constraints:\n- any_of: [\"fm[$['flag','flag','flag']]\", 'fm[$.none]']\n", fields=["id"]).where("id = 'invalid-value'")
     return found.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
