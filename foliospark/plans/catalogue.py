@@ -371,7 +371,7 @@ _SETS = {
 def _constraint(kind: str, text: str, where: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         docs = r.order_documents(spark, d, r.flag_heading())
-        return validate(docs, _ORDER + "unordered: true\n" + _FLAGS + f"constraints:\n- {text}\n").select("doc_id", "id", F.get_json_object("target", "$.kind").alias("kind"))
+        return validate(docs, _ORDER + "unordered: true\n" + _FLAGS + f"constraints:\n- {text}\n", fields=["id", "target"]).select("doc_id", "id", F.get_json_object("target", "$.kind").alias("kind"))
 
     query(f"SELECT doc_id, '{kind}' AS id, 'document' AS kind FROM {_HAS} WHERE {where}", f"constraint_{kind}")(run)
 
@@ -394,7 +394,7 @@ _ENDS = f"(SELECT l_orderkey AS doc_id, max(CASE WHEN l_returnflag = 'A' THEN rn
 @query(f"SELECT doc_id, 'ordered' AS id FROM {_ENDS} WHERE NOT (coalesce(a2 < n1, true) AND coalesce(coalesce(n2, a2) < r1, true))")
 def constraint_ordered(spark: SparkSession, d: str) -> DataFrame:
     docs = r.order_documents(spark, d, r.flag_heading())
-    return validate(docs, _ORDER + "unordered: true\n" + _FLAGS + "constraints:\n- ordered: [a, n, r]\n").select("doc_id", "id")
+    return validate(docs, _ORDER + "unordered: true\n" + _FLAGS + "constraints:\n- ordered: [a, n, r]\n", fields=["id"]).select("doc_id", "id")
 
 
 @query(f"SELECT doc_id, coalesce(a2 < n1, true) AND coalesce(coalesce(n2, a2) < r1, true) AS holds FROM {_ENDS}")
