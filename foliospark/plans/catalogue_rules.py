@@ -202,7 +202,7 @@ def item_positions_in_order(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id AS doc_id, 'forbidden-frontmatter' AS id, 1::bigint AS line FROM events")
 def forbidden_frontmatter(spark: SparkSession, d: str) -> DataFrame:
-    return validate(r.event_documents(spark, d, F.concat(F.lit("k: "), "k")), _BARE + "frontmatter: {allow: false}\n").select("doc_id", "id", "line")
+    return validate(r.event_documents(spark, d, F.concat(F.lit("k: "), "k")), _BARE + "frontmatter: {allow: false}\n", fields=["id", "line"]).select("doc_id", "id", "line")
 
 
 _K = "(json_extract_string(props, '$.k'))::bigint"

@@ -11,6 +11,7 @@ from foliospark.sources import yaml12
 
 #: The passes over documents that each query's plan has, by what they give beside the key.
 PASSES = {
+    "forbidden_frontmatter": ["id line"],
     "constraint_one_of": ["id target"],
     "results_met_once": ["id"],
     "json_results": ["ord id line col target message schema_node schema_line schema_col involved refs"],
