@@ -351,7 +351,7 @@ def unit_contexts(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id::varchar AS path, CASE WHEN event_id % 2 = 0 THEN 'T ' ELSE '' END || 'one ' || json_extract_string(props, '$.k') AS body, 'one ' || json_extract_string(props, '$.k') AS snippet FROM events")
 def root_units(spark: SparkSession, d: str) -> DataFrame:
     docs = r.event_documents(spark, d, F.concat(F.lit("z: "), "k"), F.lit("a: one")).select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 2 == 0, F.replace("source", F.lit("## Body"), F.lit("# T"))).otherwise(F.col("source")).alias("source"))
-    return parse.units(docs).where("kind = 'root'").select("path", "body", "snippet")
+    return parse.units(docs, fields=["kind", "body", "snippet"]).where("kind = 'root'").select("path", "body", "snippet")
 
 
 @query("""SELECT 'all' AS scope, count(*) FILTER (WHERE p_partkey % 5 > 0) AS total, least(7, count(*) FILTER (WHERE p_partkey % 5 > 0)) AS shown, 1000::bigint AS most FROM part WHERE p_name LIKE 'red %'
