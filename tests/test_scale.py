@@ -11,6 +11,7 @@ from foliospark.sources import yaml12
 
 #: The passes over documents that each query's plan has, by what they give beside the key.
 PASSES = {
+    "misplaced_blocks": ["id"],
     "root_units": ["kind body snippet"],
     "forbidden_frontmatter": ["id line"],
     "constraint_one_of": ["id target"],
