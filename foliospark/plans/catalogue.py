@@ -433,7 +433,7 @@ def titles(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT l_orderkey AS doc_id, (rn - 1)::int AS ord, (rn + 1)::bigint AS line, 4::bigint AS width FROM {_SEQ} s")
 def diagnostic_total_order(spark: SparkSession, d: str) -> DataFrame:
-    found = validate(r.order_documents(spark, d, r.flag_heading()), _ORDER + "sections: []\n")
+    found = validate(r.order_documents(spark, d, r.flag_heading()), _ORDER + "sections: []\n", fields=["ord", "line", "target"])
     return found.select("doc_id", "ord", "line", (F.length(F.get_json_object("target", "$.path[1]")) + 3).cast("long").alias("width"))
 
 
