@@ -307,7 +307,7 @@ def fm_int_kind(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT event_id AS doc_id, 'missing-value' AS id, '/k' AS pointer FROM events WHERE {_K} % 2 = 0")
 def fm_missing_required(spark: SparkSession, d: str) -> DataFrame:
     docs = r.event_documents(spark, d, F.concat(F.lit("user: "), F.col("user_id").cast("string")), F.when(F.col("k").cast("long") % 2 == 1, F.concat(F.lit("k: "), "k")))
-    found = validate(docs, _BARE + "frontmatter:\n  captures:\n    k: {type: int, required: true}\n")
+    found = validate(docs, _BARE + "frontmatter:\n  captures:\n    k: {type: int, required: true}\n", fields=["id", "target"])
     return found.select("doc_id", "id", F.get_json_object("target", "$.pointer").alias("pointer"))
 
 
