@@ -300,7 +300,7 @@ _BARE = 'version: 1\ntitle: null\nsections:\n- Body\n'.replace("- Body", "- matc
 def fm_int_kind(spark: SparkSession, d: str) -> DataFrame:
     value = F.when(F.col("event_id") % 2 == 1, F.col("value").cast("string")).otherwise(F.col("k"))
     docs = r.event_documents(spark, d, F.concat(F.lit("k: "), value))
-    found = validate(docs, _BARE + "frontmatter:\n  captures:\n    k: {type: int}\n")
+    found = validate(docs, _BARE + "frontmatter:\n  captures:\n    k: {type: int}\n", fields=["id", "target", "line"])
     return found.select("doc_id", "id", F.get_json_object("target", "$.pointer").alias("pointer"), "line")
 
 

@@ -11,6 +11,7 @@ from foliospark.sources import yaml12
 
 #: The passes over documents that each query's plan has, by what they give beside the key.
 PASSES = {
+    "fm_int_kind": ["id target line"],
     "fm_missing_required": ["id target"],
     "diagnostic_total_order": ["ord line target"],
     "misplaced_blocks": ["id"],
