@@ -107,3 +107,11 @@ def test_documents_that_differ_in_their_title(spark, text):
         found = validate.ordered(validate.checks(s, document.parse(x, s.strip, detail=False)))
         wanted += [(i, k, d.id, d.line, validate._json(d.target), d.message, len(d.involved), [validate._json(r) for r in d.references]) for k, d in enumerate(found) if not d.suppressed]
     assert [g[:6] + (g[7],) for g in got] == [w[:6] + (w[7],) for w in sorted(wanted)]
+
+
+def test_what_is_kept_is_bounded():
+    kept = validate._Titled()
+    for i in range(5000):
+        kept.put("q", str(i), [{"id": "x"}] * 50)
+        assert sum(1 + len(x) for x in kept.of("q").values()) <= kept.MOST + 51
+    assert kept.of("q") and not kept.of("other")
